@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseworks.llm import mixture, neardup, packing, pairs, split, topn
+from clauseworks.llm import abuse, mixture, neardup, packing, pairs, split, topn
 from clauseworks.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,8 +75,20 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixture.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.found(table(spark, root, "documents"), table(spark, root, "review_samples"))
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.scores(table(spark, root, "documents"), table(spark, root, "review_samples"))
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    return abuse.rates(table(spark, root, "documents"), table(spark, root, "review_samples"))
+
+
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_rates, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_containers, p7_found, p7_mixture, p7_shares)
+    own = (p1_found, p1_rates, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_containers, p7_found, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in own}
 
 
