@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseworks.llm import abuse, mixture, neardup, packing, pairs, split, topn
+from clauseworks.llm import abuse, mixture, neardup, packing, pairs, scans, split, topn
 from clauseworks.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def p1_rates(spark: SparkSession, root: str) -> DataFrame:
     return pairs.rates(question_pairs(spark, root))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.defects(table(spark, root, "subsections"))
+
+
+def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return scans.repair(table(spark, root, "subsections"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return split.boundary_levels(table(spark, root, "subsections"), "record_id", "subsection_text")
 
@@ -88,7 +96,7 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_rates, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_containers, p7_found, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
+    own = (p1_found, p1_rates, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p6_found, p6_containers, p7_found, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in own}
 
 
