@@ -107,7 +107,8 @@ def is_refusal() -> Column:
     parts = F.split(F.col("seen"), r"(?U)(?<=[.!?।])\s+|\n+")
     some = F.exists(parts, declines) | (F.exists(parts, lambda s: s.rlike(r"(?i)\A\W*(?:please (?:ask|contact|consult|refer)|you may want to (?:speak|ask))")) & (F.size(parts) <= 2))
     lead = r"(?iU)\A\W*(?:answer|note|a|hmm|hello|hi|ok|well|dear \w+)?\W*\z"
-    return some & F.forall(parts, lambda s: declines(s) | courtesy(s) | s.rlike(lead))
+    # the test of every sentence stops at the first one that tells something, so it comes first
+    return F.forall(parts, lambda s: courtesy(s) | s.rlike(lead) | declines(s)) & some
 
 
 def is_other_language() -> Column:
