@@ -72,7 +72,7 @@ def split_pieces(df: DataFrame, id_col: str, text_col: str, limit: int = 2048, o
     spans = spans.select("_id", "_t", "_s", F.expr(starts).alias("_at"))
     zipped = F.transform("_s", lambda x, i: F.struct(x.alias("_s"), i.alias("no"), F.get("_at", i).alias("_at"), F.when(i > 0, F.get("_at", i - 1)).otherwise(0).alias("before")))
     each = spans.select("_id", "_t", F.size("_s").alias("_n"), F.inline(zipped))
-    many = F.col("_n") > 1
+    many = F.length("_t") > limit
     head = F.when(many, F.length(F.regexp_extract("_s", "(?U)\\A\\s*", 0))).otherwise(0)
     each = each.withColumns({"_lead": head, "_own": F.when(many, F.regexp_replace("_s", "(?U)\\A\\s+|\\s+\\z", "")).otherwise(F.col("_s"))})
     each = each.withColumn("_own", F.when(F.length("_own") == 0, F.substring("_s", 1, limit)).otherwise(F.col("_own")))

@@ -20,7 +20,7 @@ def _without_filled(rows: DataFrame, filled: DataFrame, n_filled: int) -> DataFr
         return rows
     if n_filled <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(filled), "_g", "left_anti")
-    salted = filled.select("_g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt"))
+    salted = filled.select("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     return rows.withColumn("_salt", F.pmod(F.xxhash64("_t"), F.lit(SALTS))).join(salted, ["_g", "_salt"], "left_anti").drop("_salt")
 
 
