@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that keyword search leaves out, and its token pattern.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with", "which", "will")
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "will")
 KEYWORD = r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*"
 
 
@@ -58,9 +58,9 @@ def rerank_text(summary: Column, text: Column) -> Column:
 
 
 def slug(name: Column, longest: int = 48) -> Column:
-    """A table-name part: runs of other characters become underscores; a name without letters or digits is an error."""
-    s = F.substring(F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_")), 1, longest)
-    return F.when(F.length(s) > 0, s).otherwise(F.raise_error(F.concat(F.lit("no slug: "), F.coalesce(name, F.lit("null")))))
+    """A table-name part: runs of other characters become underscores; an empty or overlong one is an error."""
+    s = F.btrim(F.regexp_replace(F.lower(strip(name)), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.when(F.length(s).between(1, longest), s).otherwise(F.raise_error(F.concat(F.lit("no table name from: "), F.coalesce(name, F.lit("null")))))
 
 
 def path_safe(name: Column) -> Column:
@@ -72,19 +72,33 @@ def combo_label(*axes: Column, two_call: Column) -> Column:
     return F.concat_ws("__", *axes, F.when(two_call, "tc1").otherwise("tc0"))
 
 
-def score_lines(reply: Column, ids: Column, default: float = 5.0) -> Column:
-    """Scores of lines "id: score" in a model's reply, held to 0..10, in the order of `ids`; the default where a line is missing."""
+def score_lines(reply: Column, items: int, default: float = 5.0) -> Column:
+    """Scores of lines "number: score" in a model's reply, held to 0..10, for items 1 to `items`; the default where a line is missing, the last where there are several."""
+    lines = F.split(F.coalesce(reply, F.lit("")), r"\R")
+    pattern = r"\A\s*0*(\d+)\s*[:.\-]\s*(\d+(?:\.\d+)?)"
 
     def one(i: Column) -> Column:
-        value = F.regexp_extract(reply, F.concat(F.lit(r"(?m)^\s*\[?"), i.cast("string"), F.lit(r"\]?\s*[:=\-]\s*(\d+(?:\.\d+)?)")), 1)
-        return F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce(F.nullif(value, F.lit("")).cast("double"), F.lit(default))))
+        mine = F.filter(lines, lambda x: F.regexp_extract(x, pattern, 1) == i.cast("string"))
+        value = F.regexp_extract(F.get(mine, F.size(mine) - 1), pattern, 2).cast("double")
+        return F.when(F.size(mine) > 0, F.least(F.lit(10.0), F.greatest(F.lit(0.0), value))).otherwise(F.lit(default))
 
-    return F.transform(ids, one)
+    return F.transform(F.sequence(F.lit(1), F.lit(items)), one)
 
 
-def database_url(url: Column) -> Column:
-    """A connection URL with the explicit driver scheme."""
-    return F.regexp_replace(url, r"\Apostgres(?:ql)?(?:\+\w+)?://", "postgresql+psycopg://")
+def context_header(i: Column, doc: Column, chapter: Column, section: Column, subsection_id: Column, pages: Column) -> Column:
+    """The line above a chunk in a context window; parts that a chunk lacks are left out."""
+    part = lambda name, c, skip="": F.when(F.coalesce(c, F.lit("")).isin("", skip), "").otherwise(F.concat(F.lit(f" | {name}: "), c))
+    return F.concat(F.format_string("[Chunk %d] Document: %s", i, F.coalesce(doc, F.lit("Unknown"))), part("Chapter", chapter), part("Section", section), part("Subsection", subsection_id, "N/A"), part("Pages", pages))
+
+
+def engine_url(url: Column) -> Column:
+    """A connection URL that names the driver."""
+    return F.regexp_replace(url, r"\Apostgres(?:ql)?://", "postgresql+psycopg://")
+
+
+def driver_url(url: Column) -> Column:
+    """A connection URL as the driver itself reads it."""
+    return F.regexp_replace(url, r"\A(?:postgresql\+psycopg|postgres)://", "postgresql://")
 
 
 def hyde(query: Column, hypothetical: Column) -> Column:

@@ -29,14 +29,14 @@ def fold_items(items: DataFrame, doc: str = "doc") -> DataFrame:
     """
     order = Window.partitionBy(doc).orderBy("page", "item")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kind, content = F.col("type"), strip(F.coalesce("content", F.lit("")))
+    kind, content = F.col("type"), F.coalesce("content", F.lit(""))
     chapter = F.last(F.when(kind == "chapter_header", content), ignorenulls=True).over(so_far)
     section = F.last(F.when(kind == "chapter_header", F.lit(GENERAL)).when(kind == "section_header", content), ignorenulls=True).over(so_far)
     rows = items.select(
         doc, "page", "item", content.alias("_text"), (kind.isin("chapter_header", "section_header")).alias("_head"),
         F.coalesce(chapter, F.lit(PREAMBLE)).alias("chapter"), F.coalesce(section, F.lit(GENERAL)).alias("section"),
         F.sum(F.when(kind == "continuation", 0).otherwise(1)).over(so_far).alias("_group"),
-        F.when(kind == "new_subsection", F.coalesce(F.nullif(strip(F.coalesce("id", F.lit(""))), F.lit("")), F.lit(UNNAMED))).alias("_id"),
+        F.when(kind == "new_subsection", F.coalesce(F.nullif("id", F.lit("")), F.lit(UNNAMED))).alias("_id"),
         (kind == "continuation").alias("_cont"),
     )
     at = F.struct("page", "item")
@@ -45,7 +45,7 @@ def fold_items(items: DataFrame, doc: str = "doc") -> DataFrame:
         F.min_by("chapter", at).alias("chapter"),
         F.min_by("section", at).alias("section"),
         F.min_by(F.when(F.col("_cont"), F.lit(ORPHAN)).otherwise(F.coalesce("_id", F.lit(UNNAMED))), at).alias("subsection_id"),
-        strip(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page", "item", "_head", "_text"))), lambda x: F.when(x["_head"], F.lit("")).otherwise(x["_text"])), lambda t: t != ""), " ")).alias("subsection_text"),
+        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "item", "_head", "_text"))), lambda x: F.when(x["_head"], F.lit("")).otherwise(x["_text"])), " ")).alias("subsection_text"),
         F.array_sort(F.collect_set("page")).alias("page_numbers"),
     )
     return merge_adjacent(groups.where(~is_blank(F.col("subsection_text"))), doc, "_at")
