@@ -33,10 +33,14 @@ def l2_normalize(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x / n).cast("float"))).otherwise(a)
 
 
-@F.pandas_udf("array<float>")
-def decode_int8(values: pd.Series) -> pd.Series:
+def decode_int8(values: Column) -> Column:
     """Base64 of signed bytes as floats."""
-    return values.map(lambda v: None if v is None else np.frombuffer(base64.b64decode(v), np.int8).astype(np.float32))
+
+    @F.pandas_udf("array<float>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda v: None if v is None else np.frombuffer(base64.b64decode(v), np.int8).astype(np.float32))
+
+    return run(values)
 
 
 #: Queries that go to the executors at once; more are taken in further blocks.

@@ -11,7 +11,7 @@ from clauseworks.functions.vectors import cosine
 from clauseworks.schema import Config
 
 CONTAINMENT = ("doc_name", "chapter", "section")
-PLACES = 6
+PLACES, GROUP_PLACES = 6, 9
 
 
 def group_key(level: str) -> list[str]:
@@ -24,7 +24,7 @@ def group_scores(hits: DataFrame, level: str, score: str = "base_score", count_b
     keys = group_key(level)
     s = F.coalesce(F.col(score), F.lit(0.0))
     named = hits.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in keys})
-    out = named.groupBy(by, *keys).agg(F.round(F.max(s) + count_bonus * F.avg(s), PLACES).alias("group_score"), F.min("pos").alias("_first"))
+    out = named.groupBy(by, *keys).agg(F.round(F.max(s) + count_bonus * F.avg(s), GROUP_PLACES).alias("group_score"), F.min("pos").alias("_first"))
     w = Window.partitionBy(by).orderBy(F.col("group_score").desc(), "_first")
     return out.withColumn("group_rank", F.row_number().over(w) - 1).drop("_first")
 

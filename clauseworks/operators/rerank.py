@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseworks.functions.text import is_blank, jaccard, token_set
+from clauseworks.functions.text import is_blank, token_set
 from clauseworks.operators.retrieval import fuse
 from clauseworks.schema import Config
 
@@ -69,30 +70,32 @@ def relevance_filter(hits: DataFrame, threshold: float = 0.01) -> DataFrame:
 def diversify(hits: DataFrame, lam: float = 0.7, top_k: int = 20, text: str = "text", by: str = "query_id") -> DataFrame:
     """Maximal marginal relevance: (by, id, pick from 0), greedily lam * relevance - (1 - lam) * highest Jaccard to those picked.
 
-    The first pick is the most relevant; ties go to the earlier position. A query's candidates, a reranked and so bounded
-    list, are folded inside the JVM; no pairs of rows are made.
+    The first pick is the most relevant; ties go to the earlier position. Each query's candidates, a reranked and so bounded
+    list, are gathered by one partial aggregate and picked from in Arrow batches; no pairs of rows are made.
     """
     rel = F.coalesce(*[F.col(c) for c in ("relevance_score", "score") if c in hits.columns], F.lit(0.0)).cast("double")
-    item = F.struct(F.col("pos").cast("long").alias("pos"), F.col("id"), rel.alias("rel"), token_set(F.col(text)).alias("toks"))
-    lists = hits.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("_c"))
-    kind = lists.schema["_c"].dataType.simpleString()
-    # the state holds the items left, each with its highest likeness to those picked so far
-    left_kind = "array<struct<item:" + kind[len("array<") : -1] + ",sim:double>>"
-    start = F.struct(F.transform("_c", lambda x: F.struct(x.alias("item"), F.lit(0.0).alias("sim"))).cast(left_kind).alias("left"), F.expr(f"cast(array() as array<{hits.schema['id'].dataType.simpleString()}>)").alias("picked"))
-
-    def value(x: Column, first: Column) -> Column:
-        return F.round(F.when(first, x["item"]["rel"]).otherwise(lam * x["item"]["rel"] - (1 - lam) * x["sim"]), 9)
-
-    def step(state: Column, i: Column) -> Column:
-        first = F.size(state["picked"]) == 0
-        scored = F.transform(state["left"], lambda x: F.struct(value(x, first).alias("v"), (-x["item"]["pos"]).alias("p"), x["item"].alias("item")))
-        best = F.array_max(F.transform(scored, lambda x: F.struct(x["v"], x["p"])))
-        chosen = F.get(F.filter(scored, lambda x: F.struct(x["v"], x["p"]) == best), F.lit(0))["item"]
-        rest = F.transform(F.filter(state["left"], lambda x: x["item"]["pos"] != chosen["pos"]), lambda x: F.struct(x["item"].alias("item"), F.greatest(x["sim"], jaccard(x["item"]["toks"], chosen["toks"])).alias("sim")))
-        return F.when(F.size(state["left"]) == 0, state).otherwise(F.struct(rest.cast(left_kind).alias("left"), F.concat(state["picked"], F.array(chosen["id"])).alias("picked")))
-
-    picked = F.aggregate(F.sequence(F.lit(1), F.lit(top_k)), start, step, lambda s: s["picked"])
-    return lists.select(by, F.posexplode(picked).alias("pick", "id"))
+    lists = hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "id", rel.alias("rel"), token_set(F.col(text)).alias("toks")))).alias("_c"))
+    lists = lists.select(by, F.transform("_c", lambda x: x["id"]).alias("_ids"), F.transform("_c", lambda x: x["rel"]).alias("_rel"), F.transform("_c", lambda x: x["toks"]).alias("_toks"))
+
+    @F.pandas_udf("array<int>")
+    def picks(rels: pd.Series, tokens: pd.Series) -> pd.Series:
+        return pd.Series([greedy(list(r), [frozenset(t) for t in ts], lam, top_k) for r, ts in zip(rels, tokens)])
+
+    picked = lists.select(by, "_ids", F.posexplode(picks("_rel", "_toks")).alias("pick", "_at"))
+    return picked.select(by, F.get("_ids", F.col("_at")).alias("id"), "pick")
+
+
+def greedy(rel: list[float], tokens: list[frozenset], lam: float, top_k: int) -> list[int]:
+    """Indexes in order of picking; values are compared to 9 places, the first of equal ones wins."""
+    left, out, near = list(range(len(rel))), [], [0.0] * len(rel)
+    while left and len(out) < top_k:
+        worth = [round(rel[i] if not out else lam * rel[i] - (1 - lam) * near[i], 9) for i in left]
+        best = left.pop(worth.index(max(worth)))
+        out.append(best)
+        for i in left:
+            union = len(tokens[i] | tokens[best]) if tokens[i] and tokens[best] else 0
+            near[i] = max(near[i], len(tokens[i] & tokens[best]) / union if union else 0.0)
+    return out
 
 
 STEPS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql.types import StructType
-
 PAGE_ITEM_TYPES = ("chapter_header", "section_header", "new_subsection", "continuation")
 
-PAGE_ITEM = StructType.fromDDL("doc string, page int, item int, type string, content string, id string")
-SUBSECTION = StructType.fromDDL("document_name string, document_summary string, chapter string, section string, subsection_id string, subsection_text string, page_numbers array<int>")
-CHUNK = StructType.fromDDL(
+PAGE_ITEM = "doc string, page int, item int, type string, content string, id string"
+SUBSECTION = "document_name string, document_summary string, chapter string, section string, subsection_id string, subsection_text string, page_numbers array<int>"
+CHUNK = (
     "id string, text string, doc_name string, document_summary string, chapter string, section string, subsection_id string, page_numbers string, bm25_text string,"
     "subsection_text string, is_split boolean, full_subsection_text string, chunk_index int, total_chunks int, context_summary string, seq int, prev_ids array<string>, next_ids array<string>"
 )
-VECTOR = StructType.fromDDL("index_name string, namespace string, id string, values array<float>, meta string")
-LEDGER = StructType.fromDDL("index_name string, namespace string, document string, chunk_fingerprint string, chunk_count int, embedder string, model string, dimension int, indexed_at timestamp")
-GAP_ANALYSIS = StructType.fromDDL("reasoning string, sufficient boolean, missing_info string, followup_queries array<string>")
+VECTOR = "index_name string, namespace string, id string, values array<float>, meta string"
+LEDGER = "index_name string, namespace string, document string, chunk_fingerprint string, chunk_count int, embedder string, model string, dimension int, indexed_at timestamp"
+GAP_ANALYSIS = "reasoning string, sufficient boolean, missing_info string, followup_queries array<string>"
 
 
 @dataclass(frozen=True)
