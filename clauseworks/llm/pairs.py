@@ -52,10 +52,17 @@ TRUST = 5
 SPIKE_TIMES, SPIKE_ROWS, SPIKE_REACH, SPIKE_FROM = 8, 20, 10, 40
 
 
+_BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _bare(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANKS))
+
+
 def _visible(text: Column) -> Column:
     """Text without markup, entities, zero-width characters and outer blanks."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<[^<>]{0,200}>|&(?:nbsp|amp|quot|lt|gt|#\d+);?", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"[​-‏⁠﻿­]", ""), r"(?U)\A\s+|\s+\z", "")
+    return _bare(F.regexp_replace(t, r"[​-‏⁠﻿­]", ""))
 
 
 def _words(text: Column) -> Column:
@@ -80,11 +87,19 @@ def _body(sentence: Column) -> Column:
 
 
 def features(pairs: DataFrame) -> DataFrame:
-    """(pair_table, pair_key, question, seen, said): the answer as it is seen, and without lead-ins and closing notes."""
+    """(pair_table, pair_key, question, seen, said, ...): the answer as it is seen, and without lead-ins and closing notes; the words that rules compare.
+
+    Each is a column of its own, so that a rule that needs it in several places, or for every word, has it computed once.
+    """
     seen = _visible(F.col("answer"))
     out = pairs.select("pair_table", "pair_key", F.coalesce("question", F.lit("")).alias("question"), seen.alias("seen"))
-    said = F.regexp_replace(F.regexp_replace("seen", LEADS, ""), TAIL_NOTES, "")
-    return out.withColumn("said", F.regexp_replace(said, r"(?U)\A\s+|\s+\z", ""))
+    out = out.withColumn("said", F.regexp_replace("seen", LEADS, ""))
+    # only a text that ends like a note, or has a line of sources, is searched for one
+    noted = F.col("said").rlike(r"[\])]\z|(?i)\n\s*(?:sources?|references?|সূত্র)\s*:")
+    out = out.withColumn("said", _bare(F.when(noted, F.regexp_replace("said", TAIL_NOTES, "")).otherwise(F.col("said"))))
+    own = F.regexp_replace(F.regexp_replace("said", r"[“\"«][^”\"»\n]{0,200}[”\"»]", " "), r"\A[A-Za-z][A-Za-z \-]{0,60}: ", "")
+    out = out.withColumns({"q_words": F.array_distinct(_words(F.col("question"))), "a_words": _words(F.col("said")), "own": own})
+    return out.withColumn("latin", F.split(F.regexp_replace(F.lower("own"), r"[^a-zà-ž]+", " "), " "))
 
 
 def is_empty() -> Column:
@@ -94,10 +109,9 @@ def is_empty() -> Column:
 
 def is_copied() -> Column:
     """The answer has hardly a word that isn't the question's, and most of the question's words."""
-    q, a = _words(F.col("question")), _words(F.col("said"))
-    foreign = F.size(F.filter(a, lambda w: ~F.array_contains(q, w)))
-    held = F.size(F.array_intersect(q, a)) / F.greatest(F.lit(1), F.size(F.array_distinct(q)))
-    return (F.size(a) >= 2) & (foreign <= 0.1 * F.size(a)) & (held >= 0.7)
+    foreign = F.size(F.array_except("a_words", "q_words"))
+    held = F.size(F.array_intersect("q_words", "a_words")) / F.greatest(F.lit(1), F.size("q_words"))
+    return (F.size("a_words") >= 2) & (foreign <= 0.1 * F.size("a_words")) & (held >= 0.7)
 
 
 def is_refusal() -> Column:
@@ -116,14 +130,12 @@ def is_other_language() -> Column:
 
     Quoted terms and a leading name before a colon don't count.
     """
-    own = F.regexp_replace(F.col("said"), r"[“\"«][^”\"»\n]{0,200}[”\"»]", " ")
-    own = F.regexp_replace(own, r"\A[A-Za-z][A-Za-z \-]{0,60}: ", "")
-    bn, la = F.length(F.regexp_replace(own, r"[^ঀ-৿]", "")), F.length(F.regexp_replace(own, r"[^A-Za-zÀ-ž]", ""))
-    other = F.length(F.regexp_replace(own, r"(?U)[^\p{L}]|[ঀ-৿A-Za-zÀ-ž]", ""))
-    q_bn = F.length(F.regexp_replace("question", r"[^ঀ-৿]", "")) > F.length(F.regexp_replace("question", r"[^A-Za-z]", ""))
-    q_la = F.length(F.regexp_replace("question", r"[^A-Za-z]", "")) > 0
-    words = F.filter(F.split(F.regexp_replace(F.lower(own), r"[^a-zà-ž]+", " "), " "), lambda w: w != "")
-    count = lambda names: F.size(F.filter(words, lambda w: w.isin(*names)))
+    without = lambda c, p: F.length(c) - F.length(F.regexp_replace(c, p, ""))
+    bn, la = without("own", "[ঀ-৿]+"), without("own", "[A-Za-zÀ-ž]+")
+    other = F.length(F.regexp_replace("own", r"(?U)[^\p{L}]+|[ঀ-৿A-Za-zÀ-ž]+", ""))
+    q_bn = without("question", "[ঀ-৿]+") > without("question", "[A-Za-z]+")
+    q_la = without("question", "[A-Za-z]+") > 0
+    count = lambda names: F.size(F.filter("latin", lambda w: w.isin(*names)))
     english, bangla, latin = count(ENGLISH), count(ROMANISED), count(OTHER_LATIN)
     romanised = (bangla >= 2) & (bangla > english)
     foreign_latin = (latin >= 2) & (latin > 2 * english)
@@ -211,7 +223,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     """
     rows = features(pairs.select("pair_table", "pair_key", "question", "answer"))
     rule = F.when(is_empty(), "empty").when(is_copied(), "copied_question").when(is_refusal(), "refusal").when(is_other_language(), "other_language")
-    rows = written(rows.withColumn("rule", rule).distinct())
+    rows = written(rows.select("pair_table", "pair_key", "said", rule.alias("rule")).distinct())
     told = rows.where(F.col("rule").isNull()).select("pair_table", "pair_key", "said")
     # every sentence of every answer, once with its number; the last one of an answer that doesn't end is open
     said = told.select("pair_table", "pair_key", "said", F.transform(_sentences(F.col("said")), _masked).alias("_s"))
