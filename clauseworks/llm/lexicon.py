@@ -6,7 +6,7 @@ INSULTS = (
     "dickhead", "prick", "cunt", "twat", "wanker", "whore", "slut", "dimwit", "halfwit", "nitwit", "retard", "douchebag", "lowlife", "dipshit", "numbskull", "haramjada", "kutta", "shala",
 )
 # Words that insult only when said of a person: animals, plain nouns.
-WEAK_INSULTS = ("pig", "rat", "dog", "parasite", "cockroach", "fool", "clown", "worm", "swine", "loser", "donkey", "monkey", "snake", "leech", "coward", "filth", "trash", "garbage", "liar", "thief", "crook", "maggot", "vermin", "animal", "cow", "ass")
+WEAK_INSULTS = ("pig", "rat", "dog", "parasite", "cockroach", "fool", "clown", "worm", "swine", "loser", "donkey", "monkey", "snake", "leech", "coward", "filth", "trash", "garbage", "liar", "thief", "crook", "maggot", "vermin", "animal", "cow")
 SCORN = ("stupid", "filthy", "pathetic", "worthless", "miserable", "dumb", "brainless", "useless", "gutless", "rotten", "goddamn", "spineless", "lying", "disgusting", "ugly", "dirty", "bloody", "fucking", "damn", "lousy", "shameless", "cowardly")
 SEXUAL_WORDS = ("blowjob", "handjob", "porn", "porno", "pornographic", "pussy", "cock", "dick", "penis", "vagina", "tits", "boobs", "breasts", "horny", "cum", "orgasm", "masturbate", "masturbating", "nude", "nudes", "naked", "erotic", "sex", "sexy", "ass", "slutty", "nipples", "clitoris", "dildo", "anal", "fuck", "fucked", "fucking", "nengta", "nangta")
 OBSCENE = ("fuck", "fucking", "fucker", "shit", "shitty", "bullshit", "piss", "screw")
