@@ -91,7 +91,8 @@ def similar_pairs(reps: DataFrame, n_reps: int, threshold: float, radius: int =
 
     Each record's fingerprints emit every variant within half the radius: two fingerprints within the radius share one.
     Records meet on (fingerprint number, variant); pairs whose 62 check bits differ too much (4.5 standard deviations
-    beyond what the threshold gives) are left at once, the others deduplicated and verified on their whole shingle sets.
+    beyond what the threshold gives) are left at once, the others deduplicated, tested likewise on all their fingerprints'
+    bits, and verified on their whole shingle sets.
     """
     bits, count = ball_plan(n_reps, threshold, radius)
     signed = reps.mapInArrow(_fingerprints(bits, count), "rep bigint, fps array<int>, check bigint")
@@ -100,13 +101,18 @@ def similar_pairs(reps: DataFrame, n_reps: int, threshold: float, radius: int =
         masks = sorted({m ^ (1 << j) for m in masks for j in range(bits)} | set(masks))
     ball = F.array(*[F.lit(m) for m in masks])
     keys = F.flatten(F.transform("fps", lambda f, t: F.transform(ball, lambda m: F.shiftleft(t.cast("long"), 32) + f.bitwiseXOR(m).cast("long"))))
-    variants = written(signed).select("rep", "check", F.explode(keys).alias("key"))
+    signed = written(signed)
+    variants = signed.select("rep", "check", F.explode(keys).alias("key"))
     differ = (1 - threshold) / 2
-    most = math.ceil(62 * differ + 4.5 * math.sqrt(62 * differ * (1 - differ)))
+    furthest = lambda n: math.ceil(n * differ + 4.5 * math.sqrt(n * differ * (1 - differ)))
     a, b = variants.alias("a"), variants.alias("b")
-    near = F.bit_count(F.col("a.check").bitwiseXOR(F.col("b.check"))) <= most
+    near = F.bit_count(F.col("a.check").bitwiseXOR(F.col("b.check"))) <= furthest(62)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & near)
     met = met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    # the same test over all bits, a few dozen bytes a record, before whole shingle sets are moved
+    side = lambda c: signed.select(F.col("rep").alias(c), F.col("fps").alias(f"_f{c}"))
+    apart = F.aggregate(F.zip_with("_fa", "_fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    met = met.join(side("a"), "a").join(side("b"), "b").where(apart <= furthest(bits * count)).select("a", "b")
     pairs = met.join(reps.select(F.col("rep").alias("a"), F.col("shingles").alias("_x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("shingles").alias("_y")), "b")
     both = F.size(F.array_intersect("_x", "_y"))
     alike = both / (F.size("_x") + F.size("_y") - both)
