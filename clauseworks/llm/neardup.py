@@ -105,7 +105,8 @@ def similar_pairs(reps: DataFrame, n_reps: int, threshold: float, radius: int =
     variants = signed.select("rep", "check", F.explode(keys).alias("key"))
     differ = (1 - threshold) / 2
     furthest = lambda n: math.ceil(n * differ + 4.5 * math.sqrt(n * differ * (1 - differ)))
-    a, b = variants.alias("a"), variants.alias("b")
+    # the hint keeps the join from a broadcast: its size is guessed from the table before the variants are made
+    a, b = variants.alias("a"), variants.alias("b").hint("merge")
     near = F.bit_count(F.col("a.check").bitwiseXOR(F.col("b.check"))) <= furthest(62)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & near)
     met = met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
