@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -68,7 +69,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, same: str | None
     for b in range(blocks):
         rows = asked.where(F.col("_block") == b).collect()
         q = [(r["query_id"], r["vector"] or [], r[same] if same else None) for r in rows]
-        hits = vectors.select("id", "vector", *([same] if same else [])).mapInArrow(_block_kernel(q, k, bool(same), vectors.sparkSession), f"query_id {query_type}, id {id_type}, score double")
+        hits = vectors.select("id", "vector", *([same] if same else [])).mapInArrow(_block_kernel(q, k, bool(same), vectors.sparkSession, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {query_type}, id {id_type}, score double")
         out = hits if out is None else out.unionByName(hits)
     from pyspark.sql import Window
 
@@ -76,7 +77,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, same: str | None
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block_kernel(queries: list, k: int, same: bool, spark):
+def _block_kernel(queries: list, k: int, same: bool, spark, id_type: pa.DataType):
     size = max((len(v) for _, v, _ in queries), default=0)
     fit = lambda v: np.asarray(v, np.float64) if len(v) == size else np.zeros(size)
     matrix = np.stack([fit(v) for _, v, _ in queries]) if queries else np.zeros((0, size))
@@ -104,6 +105,6 @@ def _block_kernel(queries: list, k: int, same: bool, spark):
                 at.append(keep)
                 qs.append(np.full(len(keep), j))
             at, qs = np.concatenate(at), np.concatenate(qs)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in qs]), batch.column(0).take(pa.array(at)), pa.array(score[at, qs])], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in qs], id_type), batch.column(0).take(pa.array(at)), pa.array(score[at, qs])], names=["query_id", "id", "score"])
 
     return run

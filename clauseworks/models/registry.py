@@ -99,19 +99,24 @@ def hypothetical(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.array(F.concat(F.col("query"), F.lit("\n\n"), F.concat(F.lit("The provision states: "), F.array_join(keyword_tokens(F.col("query")), " ")))).alias("queries"))
 
 
-@JUDGES.add("context_relevance")
-def context_relevance(rows: DataFrame) -> Column:
-    """1..5 by the part of the question's words that the context has; 0 without a context."""
-    share = F.size(F.array_intersect(token_set(F.col("query")), token_set(F.col("context")))) / F.greatest(F.lit(1), F.size(token_set(F.col("query"))))
-    return F.when(F.trim(F.coalesce("context", F.lit(""))) == "", 0).otherwise((1 + F.round(4 * share)).cast("int"))
-
-
-@JUDGES.add("answer_correctness")
-def answer_correctness(rows: DataFrame) -> Column:
-    """1..5 by the words shared with the reference; 0 without one."""
-    a, b = token_set(F.col("response")), token_set(F.col("reference"))
-    share = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(b))
-    return F.when(F.size(b) == 0, 0).otherwise((1 + F.round(4 * share)).cast("int"))
+def _shared(part: str, whole: str) -> Column:
+    """1..5 by the part of one text's words that another has; 0 ("not evaluated") where either has no words."""
+    a, b = token_set(F.col(part)), token_set(F.col(whole))
+    share = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise((1 + F.round(4 * share)).cast("int"))
+
+
+# Judges without a model: (metric, the text whose words are looked for, the text they are looked for in).
+OFFLINE_JUDGES = {"context_relevance": ("ctx_precision", "query", "context"), "context_sufficiency": ("ctx_sufficiency", "query", "context"), "faithfulness": ("faithfulness", "response", "context"), "answer_correctness": ("correctness", "reference", "response"), "answer_relevance": ("answer_relevance", "query", "response")}
+for _name, (_metric, _part, _whole) in OFFLINE_JUDGES.items():
+    JUDGES.add(_name)(lambda rows, m=_metric, p=_part, w=_whole: rows.withColumn(m, _shared(p, w)))
+
+
+def judged(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (query, context, response, reference) with the metrics of the named judges."""
+    for n in names:
+        rows = JUDGES.get(n)(rows)
+    return rows
 
 
 def offline_gaps(contexts: DataFrame) -> DataFrame:

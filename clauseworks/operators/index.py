@@ -33,6 +33,24 @@ def term_stats(post: DataFrame, documents: int, epsilon: float = 0.25) -> DataFr
     return df.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * mean if mean is not None else 0.0)).otherwise(F.col("idf")))
 
 
+def save(path: str, docs: DataFrame, id_col: str, text_col: str) -> None:
+    """The keyword index of `docs` as tables below `path`: documents, postings, terms and corpus numbers."""
+    spark = docs.sparkSession
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
+    kept.write.mode("overwrite").parquet(f"{path}/documents")
+    kept = spark.read.parquet(f"{path}/documents")
+    postings(kept, "id", "text").write.mode("overwrite").parquet(f"{path}/postings")
+    n, average = corpus_stats(kept, "id", "text")
+    term_stats(spark.read.parquet(f"{path}/postings"), n).write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([(n, average)], "documents bigint, average_length double").write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame, int, float]:
+    """(postings, terms, documents, average length) of a saved index."""
+    n, average = spark.read.parquet(f"{path}/corpus").first()
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, average
+
+
 def merge_new(existing: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
     """Existing rows and the new ones with ids not seen before, the first of each."""
     fresh = new.dropDuplicates([id_col]).join(existing.select(id_col), id_col, "left_anti")
