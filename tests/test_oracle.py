@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,9 +23,10 @@ def duck():
 
 
 def cell(x):
-    if x is None or x != x:
+    if x is None or pd.isna(x):
         return "null"
-    return repr(round(float(x), 6) + 0.0) if hasattr(x, "__float__") and not isinstance(x, (str, bool)) and type(x).__name__ != "Timestamp" and "bool" not in type(x).__name__ else str(x)
+    number = hasattr(x, "__float__") and not isinstance(x, str) and "bool" not in type(x).__name__
+    return repr(round(float(x), 6) + 0.0) if number else str(x)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
