@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +25,21 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "clausewo
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's Python workers, once per application, so that they find it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="clauseworks-")) / "clauseworks_package.zip"
+        atexit.register(shutil.rmtree, archive.parent, True)
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+    return spark
