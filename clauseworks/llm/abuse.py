@@ -68,7 +68,8 @@ class Restorer:
                 node = node.setdefault(c, {})
             node["$"] = w
         self.words = plain | {w + "s" for w in plain}
-        self.collapsed = {re.sub(r"(.)\1+", r"\1", w): w for w in self.words if len(w) >= 4}
+        # a listed word comes last, so that it is taken before another's plural ("tits", not "titss")
+        self.collapsed = {re.sub(r"(.)\1+", r"\1", w): w for w in [*sorted(self.words - plain), *sorted(plain)] if len(w) >= 4}
 
     def _step(self, context: str, c: str) -> float:
         n = self.runs.get(context + c, 0.0)
@@ -156,6 +157,86 @@ class Restorer:
 _DOUBLED = re.compile(r"(?<![\w])(?=[a-z]{5,14}(?![\w]))[a-z]*?([a-z])\1[a-z]*")
 
 
+#: Words so common that a fragment made of them sorts out few sentences, and the strings that a part of a pattern is spelled out to.
+_PLAIN = frozenset("a all an and are be by for from get go he her him his i in into is it like me my not of off on or out people that the their them they this to u us was we what will with women men you your".split())
+_MOST_FRAGMENTS = 400
+
+
+def _often(fragments: set[str]) -> float:
+    """A rough measure of how many sentences hold one of the fragments."""
+    return sum(1.0 if all(w in _PLAIN for w in f.split()) else 4.0 ** -len(f) for f in fragments)
+
+
+def _literals(nodes) -> tuple[set[str] | None, set[str] | None]:
+    """(all strings that a parsed pattern matches, if they are few; else None and strings one of which is in all it matches, if there are such)."""
+    runs: list[set[str]] = []
+    run, whole = {""}, True
+
+    def close() -> None:
+        nonlocal run
+        runs.append(run)
+        run = {""}
+
+    for op, arg in nodes:
+        name, every, some = str(op), None, None
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            every = {""}
+        elif name == "LITERAL":
+            every = {chr(arg)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            every = {chr(c) for _, c in arg}
+        elif name == "SUBPATTERN":
+            every, some = _literals(arg[3])
+        elif name == "BRANCH":
+            parts = [_literals(p) for p in arg[1]]
+            if all(e is not None for e, _ in parts):
+                every = set().union(*(e for e, _ in parts))
+            elif all(e is not None or s is not None for e, s in parts):
+                some = set().union(*(s if e is None else e for e, s in parts))
+        elif name == "MAX_REPEAT":
+            every, some = _literals(arg[2])
+            if arg[:2] == (0, 1) and every is not None:
+                every = every | {""}
+            elif arg[0] == 0:
+                every, some = None, None
+            elif arg[:2] != (1, 1):
+                every, some = None, some if every is None else every
+        if every is None or len(every) > _MOST_FRAGMENTS:
+            whole = False
+            close()
+            runs.append(some if every is None else every) if every or some else None
+        elif len(run) * len(every) > _MOST_FRAGMENTS:
+            whole = False
+            close()
+            run = every
+        else:
+            run = {a + b for a in run for b in every}
+    if whole:
+        return run, None
+    close()
+    # blanks at the ends are left out: a benign phrase beside the fragment may have held them
+    held = [h for r in runs if (h := {f.strip() for f in r}) and "" not in h]
+    return None, min(held, key=_often, default=None)
+
+
+def fragments(pattern: re.Pattern) -> set[str]:
+    """Strings one of which is in everything that the pattern matches."""
+    every, some = _literals(re._parser.parse(pattern.pattern))
+    out = {f.strip() for f in every} if every is not None else some
+    if not out or "" in out:
+        raise ValueError(f"no fragments: {pattern.pattern[:60]}")
+    return out
+
+
+@lru_cache(maxsize=1)
+def triggers() -> tuple[str, ...]:
+    """Strings one of which is in every sentence that any cue can match, derived from the cue patterns."""
+    out: set[str] = set()
+    for category, _, pattern in _cues():
+        out |= min(map(fragments, pattern), key=_often) if category == "hate" else fragments(pattern)
+    return tuple(sorted(f for f in out if not any(f[i:j] in out for i in range(len(f)) for j in range(i + 1, len(f) + 1) if j - i < len(f))))
+
+
 def _cues() -> list[tuple[str, str, object]]:
     fill = {"insults": "|".join(L.INSULTS), "weak": "|".join(L.WEAK_INSULTS), "scorn": "|".join(L.SCORN), "roles": L.ROLES}
     out: list[tuple[str, str, object]] = [("abuse", k, re.compile(p.format(**fill))) for k, p in L.ABUSE.items()]
@@ -176,18 +257,25 @@ class Scorer:
             import ahocorasick
 
             self.finder = ahocorasick.Automaton()
-            for t in L.TRIGGERS:
+            for t in triggers():
                 self.finder.add_word(t, 1)
             self.finder.make_automaton()
             self.triggered = lambda s: next(self.finder.iter(s), None) is not None
         except ImportError:  # slower, same result
-            pattern = re.compile("|".join(map(re.escape, sorted(set(L.TRIGGERS)))))
+            pattern = re.compile("|".join(map(re.escape, triggers())))
             self.triggered = lambda s: pattern.search(s) is not None
 
+    def _undoubled(self, sentence: str) -> str:
+        return _DOUBLED.sub(lambda m: self.restore.doubled(m.group(0)), sentence)
+
+    def suspected(self, sentence: str) -> bool:
+        """Whether a cue may match a restored sentence, as it is or with doubled letters undone. No cue matches any other sentence."""
+        return self.triggered(sentence) or ((s := self._undoubled(sentence)) != sentence and self.triggered(s))
+
     def found(self, sentence: str) -> dict[str, set[str]]:
         """Cues by category in a restored sentence. Benign phrases are blanked first; an insult inside an attack on a group is no abuse of its own."""
         s = self.benign.sub(" . ", sentence)
-        s = _DOUBLED.sub(lambda m: self.restore.doubled(m.group(0)), s)
+        s = self._undoubled(s)
         out: dict[str, set[str]] = {c: set() for c in CATEGORIES}
         for category, name, pattern in self.cues:
             if category == "hate":
@@ -210,7 +298,7 @@ class Scorer:
         """The highest chance of any sentence by category; 0 for null and blank texts and where no cue is found. Whole texts are read."""
         best = dict.fromkeys(CATEGORIES, 0.0)
         for s in self.sentences(text) if text else ():
-            if self.triggered(s):
+            if self.suspected(s):
                 for c, cues in self.found(s).items():
                     if cues:
                         best[c] = max(best[c], self.chance(c, cues))
@@ -218,7 +306,7 @@ class Scorer:
 
     def fit(self, texts: list[str], labels: list[str], prior: float = 1.0, steps: int = 300) -> None:
         """Maximum a posteriori weights: a normal prior around the starting weights holds cues that the samples don't show."""
-        seen = [[self.found(s) for s in self.sentences(t) if self.triggered(s)] for t in texts]
+        seen = [[self.found(s) for s in self.sentences(t) if self.suspected(s)] for t in texts]
         for c in CATEGORIES:
             names = list(self.weights[c])
             x = np.array([[1.0] + [float(any(n in f[c] for f in fs)) for n in names[1:]] for fs in seen])

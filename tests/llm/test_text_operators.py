@@ -140,6 +140,45 @@ def test_content_scores(scorer, text, want):
     assert {c for c, p in scorer.score(text).items() if p >= 0.5} == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("ONLY A DUMMBASS LIKE YOU COULD BELIEVE THAT.", {"abuse"}), ("I want to feel your tiits.", {"sexual"}), ("You are a morron.", {"abuse"}),
+    ("I will cut your throat.", {"abuse"}), ("We will skin you, someone will hunt you and gut you.", {"abuse"}), ("Sod off.", {"abuse"}), ("Naff off!", {"abuse"}), ("Just go die.", {"abuse"}),
+    ("Foreigners: gas them.", {"hate"}), ("Refugees deserve the same.", {"hate"}), ("Migrants ought to be thrown out.", {"hate"}),
+])
+def test_no_sentence_with_a_cue_is_left_out(scorer, text, want):
+    assert {c for c, p in scorer.score(text).items() if p >= 0.5} == want
+
+
+def test_every_alternative_of_the_cues_passes_the_gate(scorer):
+    import random
+
+    rng = random.Random(5)
+
+    def made(nodes):
+        out = ""
+        for op, arg in nodes:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                o, c = rng.choice(arg)
+                out += " " if str(arg[0][0]) == "NEGATE" else chr(c) if str(o) == "LITERAL" else " " if str(c) == "CATEGORY_SPACE" else "q"
+            elif name == "BRANCH":
+                out += made(rng.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += made(arg[3])
+            elif name == "MAX_REPEAT":
+                out += "".join(made(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        return out
+
+    for category, name, pattern in scorer.cues:
+        parts = pattern if category == "hate" else (pattern,)
+        trees = [re._parser.parse(p.pattern) for p in parts]
+        texts = {" ".join(made(t) for t in trees) for _ in range(4000)}
+        matched = [t for t in texts if all(p.search(t) for p in parts)]
+        assert matched and [t for t in matched if not scorer.suspected(t)] == [], name
+
+
 def test_content_over_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, "You pathetic sack of shit.", "a"), (1, "You pathetic sack of shit.", "a"), (2, None, None), (3, "fine " * 50_000 + "kill yourself, idiot", "b")], "doc_id long, text string, source string")
     samples = spark.createDataFrame([(1, "Kill yourself, moron.", "abuse"), (2, "Please hold the line.", "none"), (3, None, None)], "sample_id int, text string, category string")
