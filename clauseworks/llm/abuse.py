@@ -22,8 +22,9 @@ ORDER = 4
 # What a written character may stand for.
 LEET = {"@": "a", "4": "a", "8": "b", "(": "c", "€": "e", "3": "e", "6": "bg", "9": "gq", "#": "h", "!": "il", "1": "il", "|": "il", "0": "o", "$": "s", "5": "s", "+": "t", "7": "t", "2": "z", "%": "x", "^": "a", "*": LETTERS, "×": "x", "¡": "i", "£": "l"}
 SEPARATORS = " .-_*·~/​‌‍⁠﻿­"
-#: Costs in nats: a leetspeak reading, a star, a dropped separator, a dropped repetition, and a listed word as a whole.
-COST = {"leet": 1.5, "star": 3.2, "separator": 0.7, "repeat": 0.9, "word": 6.5, "odd": 6.0}
+#: Costs in nats: a leetspeak reading, a star, a dropped separator, a dropped repetition, a listed word as a whole, and a code or number
+#: as a whole; a code's letters and digits cost what they do where all are as likely.
+COST = {"leet": 1.5, "star": 3.2, "separator": 0.7, "repeat": 0.9, "word": 6.5, "odd": 6.0, "code": 2.0, "letter": math.log(26), "digit": math.log(10)}
 
 _SPACED = r"(?<![\w])[a-z0-9@$!](?:(?P<s>[ .\-_·~/​‌‍⁠*])[a-z0-9@$!*])(?:(?P=s)[a-z0-9@$!*]){1,}(?:s|es)?(?![\w*@$])"
 _LEETED = r"(?<![\w@$!|*+€#^])(?=[^\s]*[a-z])(?=[a-z]*[@$!|*+€#^%0-9])[a-z0-9@$!|*+€#^%]{3,}(?![\w])"
@@ -126,12 +127,20 @@ class Restorer:
             states = dict(sorted(after.items(), key=lambda x: x[1][0])[:beam])
         return min((cost + self._step(k, "_"), said) for k, (cost, said) in states.items())
 
+    @staticmethod
+    def _coded(token: str) -> float:
+        return COST["code"] + sum(COST["digit"] if c.isdigit() else COST["letter"] for c in token if c.isalnum())
+
     @lru_cache(maxsize=100_000)
     def word(self, token: str) -> str:
         """The intended word of a token in lower case, or the token itself where a listed word isn't the best reading."""
         listed, word = self._listed(token)
         if word is None or token == word:
             return token
+        if _CODES.match(token):
+            # a digit of two readings leaves the word more in doubt: p19 is a code, p1g and a55 are words
+            doubt = sum(math.log(len(LEET.get(c, "."))) for c in token if c.isdigit())
+            return word if listed + doubt <= self._coded(token) else token
         spelled, _ = self._spelled(token)
         return word if listed <= spelled + 2.0 else token
 
@@ -142,10 +151,8 @@ class Restorer:
         def put(m: re.Match) -> str:
             token = m.group(0)
             bare = token.rstrip("!")
-            if _CODES.match(bare):
-                return token
             best = self.word(bare)
-            return best if best != bare else (self.word(token) if bare != token else token)
+            return best if best != bare else (self.word(token) if bare != token and not _CODES.match(bare) else token)
 
         return SUSPICIOUS.sub(put, lower)
 

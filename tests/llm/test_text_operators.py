@@ -149,6 +149,14 @@ def test_no_sentence_with_a_cue_is_left_out(scorer, text, want):
     assert {c for c, p in scorer.score(text).items() if p >= 0.5} == want
 
 
+def test_short_leetspeak_is_restored_and_codes_are_kept(scorer):
+    leet = {"p0rn": "porn", "c0ck": "cock", "sh1t": "shit", "d1ck": "dick", "t1ts": "tits", "pr1ck": "prick", "tw4t": "twat", "wh0re": "whore", "a55": "ass", "d0g": "dog", "p1g": "pig", "s3x": "sex", "p0rn!": "porn!"}
+    assert {w: scorer.restore.text(f"the {w} here") for w in leet} == {w: f"the {leet[w].rstrip('!')} here" for w in leet}
+    codes = ["p19", "p16", "d09", "5.3.x", "50(b)", "b2b", "e1", "4g", "stm1", "3rd", "10mb", "rg-0000017", "2019-07-08", "a4", "ipv6", "p2p", "h264", "p19!"]
+    assert [scorer.restore.text(f"the {w} here") for w in codes] == [f"the {w} here" for w in codes]
+    assert scorer.score("Hot p0rn for all.")["sexual"] >= 0.5 and scorer.score("He pushed his c0ck away.")["sexual"] >= 0.5 and scorer.score("The next page is p19.")["abuse"] == 0
+
+
 def test_every_alternative_of_the_cues_passes_the_gate(scorer):
     import random
 
