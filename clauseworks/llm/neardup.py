@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clauseworks.operators.materialize import written
 
-#: Groups of exact copies up to this size are written out pair by pair, larger ones as (first, copy) pairs.
+#: Groups of copies equal byte for byte are written out pair by pair up to this size, larger ones as (first, copy) pairs.
 EXPAND_COPIES = 32
 
 
@@ -70,17 +70,20 @@ def _fingerprints(bits: int, count: int):
     return run
 
 
-def near_classes(df: DataFrame, id_col: str, text: Column, words: int = 3) -> DataFrame:
+def near_classes(df: DataFrame, id_col: str, text: Column, words: int = 3, exact: tuple[Column, ...] = ()) -> DataFrame:
     """(id, rep, copies, shingles): records of equal shingle sets form a class, named by its smallest id; `shingles` only in the row of `rep`.
 
+    Among the keys, k3 tells the records of a class apart whose `exact` columns (the text, if none are given) differ in any byte.
+
     Null and blank texts and texts of fewer words than a run have no row; a record delivered again counts once. A class
     is kept as (member, rep) rows and never gathered: its smallest id is a partial aggregate, however many copies there are.
     """
     words_of, shingles = shingle_hashes(text, words)
-    rows = df.select(F.col(id_col).alias("id"), words_of.alias("_w")).select("id", shingles.alias("shingles"))
+    same = F.xxhash64(*[x for c in exact or (text,) for x in (c.isNull(), c)])
+    rows = df.select(F.col(id_col).alias("id"), words_of.alias("_w"), same.alias("k3")).select("id", shingles.alias("shingles"), "k3")
     # filtered and keyed only after the table is written: pushed below, the filter would compute the runs again
     rows = written(rows).where(F.size("shingles") > 0).withColumns({"k1": F.xxhash64("shingles"), "k2": F.hash("shingles")})
-    keys = rows.select("id", "k1", "k2").distinct()
+    keys = rows.groupBy("id", "k1", "k2").agg(F.min("k3").alias("k3"))
     classes = keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = rows.join(classes, (rows.id == classes.rep) & (rows.k1 == classes.k1) & (rows.k2 == classes.k2), "left_semi").dropDuplicates(["id"])
     return keys, classes, reps.select(F.col("id").alias("rep"), "shingles")
@@ -120,23 +123,26 @@ def similar_pairs(reps: DataFrame, n_reps: int, threshold: float, radius: int =
     return pairs.select("a", "b", alike.alias("likeness")).where(F.col("likeness") >= threshold)
 
 
-def near_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.7, words: int = 3, expand: int = EXPAND_COPIES) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = 0.7, words: int = 3, expand: int = EXPAND_COPIES, exact: tuple[Column, ...] = ()) -> DataFrame:
     """(record_a, record_b), a < b: all pairs of records alike to `threshold` or more.
 
-    Different texts are linked one by one. Members of a class of equal shingle sets have the same links: classes of up to
-    `expand` records are written out, of a larger one only its smallest id carries the links to other texts and each copy
-    is tied to that id, which says the same without a quadratic number of rows.
+    Different texts are linked one by one, those of a class of equal shingle sets too: its members have the same links.
+    Only of more than `expand` records that are equal byte for byte in the `exact` columns (the text, if none are given),
+    the smallest id alone carries the links to other texts and each copy is tied to that id, which says the same without a
+    quadratic number of rows.
     """
-    keys, classes, reps = near_classes(df, id_col, text, words)
+    keys, classes, reps = near_classes(df, id_col, text, words, exact)
     reps = written(reps)
     pairs = similar_pairs(reps, reps.count(), threshold)
-    small = classes.where((F.col("copies") > 1) & (F.col("copies") <= expand))
-    members = keys.join(small, ["k1", "k2"]).select("rep", F.col("id").alias("member"))  # only of classes that have copies
+    big = keys.join(classes.where(F.col("copies") > expand), ["k1", "k2"], "left_semi")
+    copied = big.groupBy("k1", "k2", "k3").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > expand).drop("n")
+    inner = keys.join(classes.where(F.col("copies") > 1), ["k1", "k2"]).join(copied, ["k1", "k2", "k3"], "left")  # only of classes that have copies
+    members = inner.where(F.col("first").isNull() | (F.col("id") == F.col("first"))).select("rep", F.col("id").alias("member"))
     side = lambda p, c: p.join(members.select(F.col("rep").alias(c), "member"), c, "left").withColumn(c, F.coalesce("member", c)).drop("member")
     across = side(side(pairs.select("a", "b"), "a"), "b")
     m = members.alias("x").join(members.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.member") < F.col("y.member")))
     inside = m.select(F.col("x.member").alias("a"), F.col("y.member").alias("b"))
-    large = keys.join(classes.where(F.col("copies") > expand), ["k1", "k2"]).where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    large = inner.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
     every = across.unionByName(inside).unionByName(large)
     return every.select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b"))
 

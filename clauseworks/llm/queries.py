@@ -52,7 +52,7 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return neardup.near_pairs(_provisions(spark, root), "record_id", _named_text(), threshold=0.7, words=3)
+    return neardup.near_pairs(_provisions(spark, root), "record_id", _named_text(), threshold=0.7, words=3, exact=(F.col("document_name"), F.col("subsection_text")))
 
 
 def p4_groups(spark: SparkSession, root: str) -> DataFrame:

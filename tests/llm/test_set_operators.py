@@ -43,6 +43,15 @@ def test_many_copies_are_tied_to_their_first(spark):
     assert neardup.near_pairs(df.limit(0), "id", F.col("t")).count() == 0
 
 
+def test_different_texts_of_a_large_class_are_all_linked(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(i, " ".join(w.upper() if i >> j & 1 else w for j, w in enumerate(words))) for i in range(1, 41)] + [(100 + i, " ".join(words)) for i in range(40)] + [(200, " ".join(words + ["thirteen"]))]
+    rows += rows[:3]
+    got = {tuple(r) for r in neardup.near_pairs(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).collect()}
+    linked = [*range(1, 41), 100, 200]  # the 40 byte-equal ones are tied to 100, their first
+    assert got == {(a, b) for a in linked for b in linked if a < b} | {(100, 100 + i) for i in range(1, 40)}
+
+
 def test_ball_plan_keeps_its_recall():
     for n in (10, 10_000, 10**9):
         bits, count = neardup.ball_plan(n, 0.7)
