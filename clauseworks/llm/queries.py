@@ -12,6 +12,13 @@ from clauseworks.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Production parameter: the weight schedule of each source of mix_targets, linear from share * (1 - slope) at the start of the
+#: training to share * (1 + slope) at its end. Short everyday texts fall, dense rules and filings rise.
+SLOPES = {
+    "sms_polls": -0.8, "social_feed": -0.7, "youth_helpline": -0.6, "user_forum": -0.5, "legacy_scans": -0.5, "glossary_cards": -0.4, "complaint_desk": -0.3, "tape_archive": -0.2,
+    "licence_faq": 0.2, "bangla_handbook": 0.3, "tariff_sheets": 0.3, "circular_archive": 0.4, "gazette_notes": 0.5, "operator_filings": 0.5, "court_digest": 0.7,
+}
+
 
 def question_pairs(spark: SparkSession, root: str) -> DataFrame:
     refs = table(spark, root, "reference_answers").select(F.lit("reference_answers").alias("pair_table"), F.col("ref_id").cast("string").alias("pair_key"), "question", "answer")
@@ -76,11 +83,11 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, root: str) -> DataFrame:
-    return mixture.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixture.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"), slopes=SLOPES)
 
 
 def p7_shares(spark: SparkSession, root: str) -> DataFrame:
-    return mixture.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixture.shares(table(spark, root, "documents"), table(spark, root, "mix_targets"), slopes=SLOPES)
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

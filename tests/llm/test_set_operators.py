@@ -109,3 +109,13 @@ def test_slices_give_the_same_mixture(spark):
     goals = mixture.plan(sizes, spark.createDataFrame([("a", 0.7, 2)], "source string, target_share double, max_repeats int"))
     one, many = (mixture.arrange(sizes, goals, docs_per_slice=n).toPandas().sort_values("doc_id").reset_index(drop=True) for n in (10_000, 13))
     assert one.equals(many)
+
+
+def test_registered_mixture_follows_the_schedules(spark):
+    from clauseworks.llm import queries
+
+    root = "/root/testdata/sf0.01"
+    pytest.importorskip("os").path.exists(root) or pytest.skip("no test tables here")
+    assert queries.SLOPES.keys() == {r.source for r in queries.table(spark, root, "mix_targets").select("source").distinct().collect()}
+    rows = queries.p7_mixture(spark, root).groupBy("source").agg((F.sum(F.col("position") * F.col("n_tokens")) / F.sum("n_tokens")).alias("mean"), F.count("*").alias("n")).where("n >= 30").collect()
+    assert len(rows) >= 5 and all(abs(r["mean"] - (0.5 + queries.SLOPES[r.source] / 6)) < 0.02 for r in rows)  # the mean time of a linear schedule
