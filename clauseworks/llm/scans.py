@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import statistics
 from collections.abc import Iterator
@@ -24,6 +25,10 @@ _PUNCT = "\"'“”‘’«»()[]{}<>.,;:!?।…*_/\\—–-‐‑¬­|†"
 _EDGES = "\"'“”‘’«»()[]{}<>.,;:?।…*_/\\—–-‐‑¬­"
 #: Nats that a first and every further misread character of a word cost, and the characters of a word that may be misread.
 FIRST_SUB, NEXT_SUB, MOST_SUBS = 3.0, 1.0, 3
+#: Nats that a lost or an added blank costs, and those of every character of a word that no clean text has.
+BLANK, LETTER = 3.0, 2.5
+#: Words of one letter, which the vocabulary leaves out, with their cost.
+ONE_LETTER = {"a": 3.9}
 
 _BN = {ord("০") + i: str(i) for i in range(10)}
 _PAGE = re.compile(r"(?i)[\s\-–—|\[\](){}<>*~•·.:_/]*(?:page|pg|p|পৃষ্ঠা|পৃ)?[\s\-–—|\[\](){}<>*~•·.:_/]*(\d{1,5})(?:\s*(?:of|/|এর)\s*\d{1,5})?[\s\-–—|\[\](){}<>*~•·.:_/]*\Z")
@@ -167,11 +172,10 @@ def _laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             breaks = list(broken_words(lines))
             keep = [s.split() for s in lines]
             for i, _, _ in breaks:  # both parts leave the stream of whole words
-                keep[i].pop()
-                keep[i + 1][0] = ""
+                keep[i][-1] = keep[i + 1][0] = "-"
             furniture = {k: [s.strip() for s, kind in zip(layout.lines, layout.kinds) if kind == k] for k in ("page", "header")}
             maybe = [{"line": layout.lines[i].strip(), "norm": n} for i, n in layout.norms.items()]
-            stream = " ".join(" ".join(w) for w in keep)
+            stream = "\n".join(" ".join(w) for w in keep)
             rows.append((rid, title, layout.wrapped(), stream, furniture["page"], furniture["header"], maybe, [{"a": a.lower(), "b": b.lower()} for _, a, b in breaks]))
         yield pd.DataFrame(rows, columns=["record_id", "title", "scanned", "stream", "pages", "headers", "maybe", "breaks"])
 
@@ -290,15 +294,113 @@ def joins(laid: DataFrame, words: DataFrame) -> DataFrame:
     return out.select("a", "b", F.coalesce("r.reading", default).alias("whole"), (F.coalesce("r.subs", F.lit(0)) > 0).alias("misread"))
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [
+            (w, i, j, c, s)
+            for w in pdf["word"] for i in range(len(w)) for j in range(i + 2, len(w) + 1) if j - i < len(w)
+            for c, s in readings(w[i:j], 1).items()
+        ]
+        yield pd.DataFrame(rows, columns=["word", "i", "j", "reading", "subs"])
+
+
+def segmented(length: int, edges: list[tuple[int, int, str, float]]) -> tuple[float, list[str]]:
+    """The cheapest sequence of words, (begin, end, word, cost), over a stream of `length` characters, by Viterbi."""
+    best: list[tuple[float, list[str]]] = [(0.0, [])] + [(float("inf"), [])] * length
+    for i, j, word, cost in sorted(edges):
+        c = best[i][0] + cost + (BLANK if i else 0.0)
+        if c < best[j][0]:
+            best[j] = (c, best[i][1] + [word])
+    return best[length]
+
+
+def merges(words: DataFrame) -> DataFrame:
+    """(word, fix) of the distinct words that are several words whose blanks were lost: "ofthe", "of the".
+
+    The characters of every word that no clean text has are segmented into words of clean texts, each perhaps misread in
+    one place. The parts meet the vocabulary in a shuffle; those of one word, bounded by its length, are decoded together.
+    """
+    every = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    unknown = words.where((F.col("n_clean") == 0) & F.length("word").between(4, 40) & F.col("word").rlike(r"(?U)^[\p{L}\p{N}!|$@€†+£¢]+$"))
+    parts = unknown.select("word").repartition("word").mapInPandas(_parts, "word string, i int, j int, reading string, subs int")
+    met = parts.hint("merge").join(words.where("n_clean >= 2").select(F.col("word").alias("reading"), "n"), "reading")
+    cost = F.log(F.lit(float(max(every, 1)))) - F.log(F.col("n").cast("double")) + F.col("subs") * FIRST_SUB
+    gathered = met.groupBy("word").agg(F.collect_list(F.struct("i", "j", "reading", cost.alias("cost"))).alias("edges")).join(unknown.select("word", "n"), "word")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for word, edges, n in zip(pdf["word"], pdf["edges"], pdf["n"]):
+                ones = [(i, i + 1, c, ONE_LETTER[c]) for i, c in enumerate(word) if c in ONE_LETTER]
+                price, said = segmented(len(word), [(e["i"], e["j"], e["reading"], e["cost"]) for e in edges] + ones)
+                if len(said) > 1 and price < LETTER * len(word) - math.log(n):
+                    rows.append((word, " ".join(said), price))
+            yield pd.DataFrame(rows, columns=["word", "cut", "price"])
+
+    return gathered.mapInPandas(run, "word string, cut string, price double")
+
+
+def with_merges(fixed: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, fix): the words' single readings, or the segmentation where there is none or it costs less."""
+    every = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = words.select(F.col("word").alias("fix"), F.col("n").alias("_n"))
+    priced = fixed.join(n, "fix", "left").select("word", "fix", F.when(F.col("_n").isNull(), 0.0).otherwise(F.log(F.lit(float(max(every, 1)))) - F.log(F.col("_n").cast("double")) + FIRST_SUB).alias("own"))
+    both = priced.join(merges(words), "word", "full")
+    cut = F.col("fix").isNull() | (F.col("price") < F.col("own"))
+    return both.select("word", F.when(F.col("cut").isNotNull() & cut, F.col("cut")).otherwise(F.col("fix")).alias("fix"))
+
+
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(a, b, c, s) for a, b in zip(pdf["a"], pdf["b"]) for c, s in readings(a + b, 1).items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "reading", "subs"])
+
+
+def splits(laid: DataFrame, words: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(record_id, a, b, line_end, whole, misread): neighbours that are one word, broken by a blank or at a line end without a hyphen.
+
+    One of the two must be a word that no clean text has; both are held against the whole under the same unigram model.
+    """
+    every = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = F.log(F.lit(float(max(every, 1))))
+    edge = "[" + re.escape(_EDGES) + "]+"
+    lines = F.transform(F.split(F.lower("stream"), "\n"), lambda s, i: F.transform(F.split(s, r"(?U)\s+"), lambda w: F.struct(w.alias("w"), i.alias("i"))))
+    flat = F.filter(F.flatten(lines), lambda x: x.w != "")
+    pair = lambda x, y: F.struct(F.regexp_replace(x.w, f"^{edge}", "").alias("a"), F.regexp_replace(y.w, f"{edge}!*$|!+$", "").alias("b"), (x.i != y.i).alias("line_end"))
+    rows = laid.where("scanned").select("record_id", flat.alias("t")).where(F.size("t") > 1)
+    rows = rows.select("record_id", F.inline(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), pair)))
+    rows = rows.where(F.col("a").rlike(r"(?U)^[\p{L}\p{N}]+$") & F.col("b").rlike(r"(?U)^[\p{L}\p{N}]+$") & F.concat("a", "b").rlike(r"(?U)\p{L}{2}") & (F.length("a") + F.length("b") <= 40))
+    # pairs of two frequent words of clean texts leave before the shuffle; only a filter, as for the misread words
+    usual = words.where("n_clean > 0").orderBy(F.col("n").desc(), "word").limit(COMMON_WORDS).select("word", F.lit(True).alias("_u"))
+    for c in ("a", "b"):
+        rows = rows.join(F.broadcast(usual.select(F.col("word").alias(c), F.col("_u").alias(f"_{c}"))), c, "left")
+    rows = written(rows.where("_a IS NULL OR _b IS NULL").select("record_id", "a", "b", "line_end").distinct())
+    unknown = words.where("n_clean = 0").select("word")
+    held = [rows.join(unknown.withColumnRenamed("word", c), c, "left_semi").select("record_id", "a", "b", "line_end") for c in ("a", "b")]
+    rows = written(held[0].unionByName(held[1]).distinct())
+    priced = words.join(fixed.join(words.select(F.col("word").alias("fix"), F.col("n").alias("_f")), "fix").select("word", "_f"), "word", "left")
+    own = F.when(F.col("n_clean") > 0, size - F.log(F.col("n").cast("double"))).otherwise(F.least(LETTER * F.length("word") - F.log(F.col("n").cast("double")), F.coalesce(size - F.log(F.col("_f").cast("double")) + FIRST_SUB, F.lit(1e9))))
+    priced = priced.select("word", own.alias("own"))
+    pairs = rows.select("a", "b").distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(priced.select(F.col("word").alias(c), F.col("own").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", F.lit(LETTER) * F.length(c)))
+    read = pairs.select("a", "b").repartition("a", "b").mapInPandas(_halves, "a string, b string, reading string, subs int")
+    met = read.hint("merge").join(words.where("n_clean >= 2").select(F.col("word").alias("reading"), "n"), "reading")
+    price = size - F.log(F.col("n").cast("double")) + BLANK + F.col("subs") * FIRST_SUB
+    best = met.groupBy("a", "b").agg(F.min(F.struct(price.alias("price"), "reading", "subs")).alias("r"))
+    best = best.join(pairs, ["a", "b"]).where(F.col("r.price") < F.col("_a") + F.col("_b"))
+    return rows.join(best, ["a", "b"]).select("record_id", "a", "b", "line_end", F.col("r.reading").alias("whole"), (F.col("r.subs") > 0).alias("misread"))
+
+
 #: Frequent words that need no correction and are taken out before the shuffle; only a filter, the other words go the long way.
 COMMON_WORDS = 50_000
 
 
-def _decoded(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(laid, headers, fixes, wholes) of a table of texts."""
+def _decoded(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(laid, headers, fixes, wholes, rejoined) of a table of texts."""
     laid = written(lay_out(df))
     words = written(vocabulary(laid))
-    fixed = written(corrections(words))
+    fixed = written(with_merges(corrections(words), words))
     recur = laid.select("record_id", "title", F.inline("maybe")).distinct()
     often = recur.groupBy("title", "norm").agg(F.count_distinct("record_id").alias("k")).where(F.col("k") >= 2)
     folded = F.translate(F.lower("h"), "i1!|05$68@†qc", "llllossbbatge")
@@ -311,20 +413,24 @@ def _decoded(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     rare = laid.where("scanned").select("record_id", F.explode(F.array_distinct(_tokens(F.col("stream")))).alias("word")).join(F.broadcast(common), "word", "left_anti")
     fixes = rare.join(fixed, "word").select("record_id", "word", "fix").distinct()
     wholes = laid.select("record_id", F.inline("breaks")).distinct().join(joins(laid, words), ["a", "b"])
-    return laid, headers, fixes, wholes
+    rejoined = written(splits(laid, words, fixed))
+    halves = rejoined.select("record_id", F.explode(F.array("a", "b")).alias("word")).distinct()
+    return laid, headers, fixes.join(halves, ["record_id", "word"], "left_anti"), wholes, rejoined
 
 
 def defects(df: DataFrame) -> DataFrame:
     """(record_id, kind, fragment): what a scan did to a text, among rows of record_id, document_name, subsection_text and page_numbers.
 
     Lines are told apart by layout, words broken at line ends are joined, and the de-lined words are decoded against the
-    words of all texts: kinds `split_word`, `misread`, `header` and `page_number`. Null texts give no row, null titles and
+    words of all texts, with lost and added blanks: a word broken by a blank within a line is misread, and words run together
+    are misread for the words with their blanks. Kinds `split_word`, `misread`, `header` and `page_number`. Null texts give no row, null titles and
     page lists are empty, rows delivered again count once. Whole texts are read.
     """
-    laid, headers, fixes, wholes = _decoded(df)
+    laid, headers, fixes, wholes, rejoined = _decoded(df)
     kind = lambda rows, name, fragment: rows.select("record_id", F.lit(name).alias("kind"), F.col(fragment).alias("fragment"))
     pages = laid.select("record_id", F.explode("pages").alias("line"))
     parts = [kind(pages, "page_number", "line"), kind(headers, "header", "line"), kind(fixes, "misread", "fix"), kind(wholes, "split_word", "whole"), kind(wholes.where("misread"), "misread", "whole")]
+    parts += [kind(rejoined.where("line_end"), "split_word", "whole"), kind(rejoined.where("misread OR NOT line_end"), "misread", "whole")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -364,7 +470,7 @@ def paragraphs(lines: list[tuple[str, int, bool]]) -> list[list[str]]:
     return out[::-1]
 
 
-def repaired_text(text: str, title: str, pages: set[int], headers: set[str], fixes: dict[str, str], wholes: dict[tuple[str, str], str]) -> str:
+def repaired_text(text: str, title: str, pages: set[int], headers: set[str], fixes: dict[str, str], wholes: dict[tuple[str, str], str], rejoined: dict[tuple[str, str], str] | None = None) -> str:
     """The text without furniture, its broken words joined, misread words corrected, its lines as paragraphs."""
     layout = Layout(text, title, pages)
     for i in layout.norms:
@@ -391,16 +497,18 @@ def repaired_text(text: str, title: str, pages: set[int], headers: set[str], fix
                 head = re.sub(rf"{re.escape(a)}[{HYPHENS}]\s*\Z", lambda _: cased(a, whole), lines[i])
                 lines[i : i + 2] = [" ".join([head + tail, *rest[1:]])]
         joined = re.sub(r"[ \t]+", " ", " ".join(lines))
+        for (a, b), whole in (rejoined or {}).items():
+            joined = re.sub(rf"(?i)(?<!\w){re.escape(a)}\s+{re.escape(b)}(?!\w)", lambda m, w=whole: cased(m.group(0), w), joined)
         out.append(re.sub(r"\S+", word, joined) if fixes else joined)
     return "\n\n".join(out)
 
 
 def repair(df: DataFrame) -> DataFrame:
     """(record_id, repaired_text) of every record with a text, once each; a text of one line only has its words corrected."""
-    _, headers, fixes, wholes = _decoded(df)
+    _, headers, fixes, wholes, rejoined = _decoded(df)
     by = lambda rows, name, *c: rows.groupBy("record_id").agg(F.collect_list(F.struct(*c) if len(c) > 1 else F.col(c[0])).alias(name))  # noqa: E731  bounded by the words of one text
     rows = df.select("record_id", F.coalesce("document_name", F.lit("")).alias("title"), F.col("subsection_text").alias("text"), F.col("page_numbers").alias("pages")).where(F.col("text").isNotNull()).dropDuplicates(["record_id"])
-    rows = rows.join(by(headers, "headers", "line"), "record_id", "left").join(by(fixes, "fixes", "word", "fix"), "record_id", "left").join(by(wholes, "wholes", "a", "b", "whole"), "record_id", "left")
+    rows = rows.join(by(headers, "headers", "line"), "record_id", "left").join(by(fixes, "fixes", "word", "fix"), "record_id", "left").join(by(wholes, "wholes", "a", "b", "whole"), "record_id", "left").join(by(rejoined.select("record_id", "a", "b", "whole").distinct(), "rejoined", "a", "b", "whole"), "record_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = lambda x: [] if x is None else x
@@ -410,7 +518,7 @@ def repair(df: DataFrame) -> DataFrame:
                 pages = {int(p) for p in held(r.pages) if p is not None and p == p}
                 fix = {x["word"]: x["fix"] for x in held(r.fixes)}
                 whole = {(x["a"], x["b"]): x["whole"] for x in held(r.wholes)}
-                out.append((r.record_id, repaired_text(r.text, r.title, pages, set(held(r.headers)), fix, whole)))
+                out.append((r.record_id, repaired_text(r.text, r.title, pages, set(held(r.headers)), fix, whole, {(x["a"], x["b"]): x["whole"] for x in held(r.rejoined)})))
             yield pd.DataFrame(out, columns=["record_id", "repaired_text"])
 
     return rows.mapInPandas(run, "record_id bigint, repaired_text string")

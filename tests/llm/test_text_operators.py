@@ -75,6 +75,15 @@ def test_scan_repair_gives_paragraphs(spark):
     assert got[0] == CLEAN and got[102] == "" and 101 not in got
 
 
+def test_lost_and_added_blanks_are_decoded(spark):
+    text = "The holder ofthe licence shall main\ntain the equip ment in working order. Every western operator must publish theoutage register and the in-\nbuilding plan of the lic\nencc in work ing"
+    df = spark.createDataFrame([(i, TITLE, CLEAN + " The plan of the licence.", None, None) for i in range(10)] + [(1000, TITLE, text, [], None)], SCHEMA)
+    got = {(r.kind, r.fragment) for r in scans.defects(df).where("record_id = 1000").collect()}
+    assert got == {("misread", "of the"), ("split_word", "maintain"), ("misread", "equipment"), ("misread", "the outage"), ("split_word", "in-building"), ("split_word", "licence"), ("misread", "licence"), ("misread", "working")}
+    fixed = {r.record_id: r.repaired_text for r in scans.repair(df).collect()}[1000]
+    assert fixed == "The holder of the licence shall maintain the equipment in working order. Every western operator must publish the outage register and the in-building plan of the licence in working"
+
+
 def test_scans_of_an_empty_table(spark):
     assert scans.defects(spark.createDataFrame([], SCHEMA)).count() == 0
 
