@@ -46,12 +46,6 @@ def plan(sizes: DataFrame, targets: DataFrame, source_col: str = "source", slope
     )
 
 
-def short_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Sources whose documents, used as often as allowed, hold fewer tokens than their target."""
-    sizes = written(sized(df, id_col, text_col, "source", path=tokenizer))
-    return plan(sizes, targets).where(~F.col("reachable")).select("source")
-
-
 def arrange(sizes: DataFrame, goals: DataFrame, id_col: str = "doc_id", docs_per_slice: int = DOCS_PER_SLICE) -> DataFrame:
     """(id, source, repeat, n_tokens, position): the uses of every document, due at `position` in [0, 1].
 
@@ -83,6 +77,19 @@ def mixture(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     return arrange(sizes, plan(sizes, targets, slopes=slopes), id_col).orderBy("position", id_col, "repeat")
 
 
+def short_sources(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", slopes: dict[str, float] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Sources whose documents, used as often as allowed, hold fewer tokens than their target.
+
+    In the arranged mixture they are used up; as the last use of a source may end beyond its demand, the used-up sources
+    are then held exactly against their targets.
+    """
+    sizes = written(sized(df, id_col, text_col, "source", path=tokenizer))
+    goals = plan(sizes, targets, slopes=slopes)
+    got = arrange(sizes, goals, id_col).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    used_up = F.coalesce("tokens", F.lit(0)) >= F.col("source_tokens") * F.col("max_repeats")
+    return goals.join(got, "source", "left").where(used_up & ~F.col("reachable")).select("source")
+
+
 def shares(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", slopes: dict[str, float] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """What a mixture really reaches: (source, target_share, max_repeats, tokens, most_repeats, share_of_target_total, share_of_mixture).
 

@@ -79,7 +79,7 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return mixture.short_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixture.short_sources(table(spark, root, "documents"), table(spark, root, "mix_targets"), slopes=SLOPES)
 
 
 def p7_mixture(spark: SparkSession, root: str) -> DataFrame:

@@ -119,3 +119,11 @@ def test_registered_mixture_follows_the_schedules(spark):
     assert queries.SLOPES.keys() == {r.source for r in queries.table(spark, root, "mix_targets").select("source").distinct().collect()}
     rows = queries.p7_mixture(spark, root).groupBy("source").agg((F.sum(F.col("position") * F.col("n_tokens")) / F.sum("n_tokens")).alias("mean"), F.count("*").alias("n")).where("n >= 30").collect()
     assert len(rows) >= 5 and all(abs(r["mean"] - (0.5 + queries.SLOPES[r.source] / 6)) < 0.02 for r in rows)  # the mean time of a linear schedule
+
+
+def test_short_sources_come_from_the_arranged_mixture(spark, monkeypatch):
+    seen, arrange = [], mixture.arrange
+    monkeypatch.setattr(mixture, "arrange", lambda *a, **k: seen.append(1) or arrange(*a, **k))
+    docs = spark.createDataFrame([(i, "some words of text here", s, "x") for i, s in enumerate(["a"] * 10 + ["b"] * 10 + ["c"] * 20)], DOCS)
+    goals = spark.createDataFrame([("a", 0.25, 1), ("b", 0.26, 1), ("c", 0.4, 1), ("none", 0.05, 5), ("zero", 0.0, 5)], "source string, target_share double, max_repeats int")
+    assert {r.source for r in mixture.short_sources(docs, goals, slopes={"a": 0.5}).collect()} == {"b", "none"} and seen
