@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,8 +212,34 @@ def test_adaptive_batches_and_retries():
     assert sizes == [8, 4, 4, 3] and waits == [5.0]
     with pytest.raises(ValueError):
         list(calls.adaptive([1], lambda b: (_ for _ in ()).throw(ValueError("other")), calls.Policy(), waits.append))
+    with pytest.raises(Full):  # at the least size it is raised
+        list(calls.adaptive([1], lambda b: (_ for _ in ()).throw(Full("too many")), calls.Policy(), waits.append))
     tries = []
     assert calls.retried(lambda: tries.append(1) or (1 / 0 if len(tries) < 2 else "done"), sleep=waits.append) == "done"
+    with pytest.raises(TimeoutError):
+        calls.retried(lambda: time.sleep(0.5), 2, waits.append, timeout=0.01)
+    with pytest.raises(ValueError):
+        calls.Policy(size=0)
+
+
+def test_capacity_errors_are_told_by_code_message_and_cause():
+    class Coded(Exception):
+        def code(self):
+            return "StatusCode.RESOURCE_EXHAUSTED"
+
+    outer = ValueError("batch failed")
+    outer.__cause__ = RuntimeError("limit of 40000 tokens per minute")
+    ring = ValueError("a")
+    ring.__context__ = ring
+    told = [calls.is_capacity_error(e) for e in (Coded("no"), outer, RuntimeError("413 documents stored"), RuntimeError("no quota given"), ring, RuntimeError("Request too large"))]
+    assert told == [True, True, False, False, False, True]
+
+
+def test_structured_replies(spark):
+    rows = spark.createDataFrame([('```json\n{"sufficient": false, "followup_queries": ["a"]}\n```',), ("sorry",), (None,)], "r string")
+    got = [x.g for x in rows.select(calls.structured(F.col("r"), "sufficient boolean, followup_queries array<string>").alias("g")).collect()]
+    assert got[0].sufficient is False and got[0].followup_queries == ["a"] and got[2] is None
+    assert got[1] is None or got[1].sufficient is None
 
 
 def test_registry_and_offline_models(spark):
