@@ -38,14 +38,22 @@ REFUSALS = (
     r"(?i)\bI have no (?:access|means|way|record|data)\b|\bas an? (?:AI |language )+(?:model|assistant)\b",
     r"আমার জানা নেই|জানা নেই আমার|আমার পক্ষে সম্ভব ন[^ ]+|(?:উত্তর|জবাব|মতামত|পরামর্শ)[^।]*(?:দেওয়া|দেওয়া) সম্ভব ন|আমার কাজের বাইরে|(?:বলতে|দিতে|করতে|জানাতে) পার(?:ছি|ি|লাম|ব) না|আমি অপারগ|কিছু (?:পাওয়া|পাওয়া) (?:যায়নি|যায়নি)|কোনো উল্লেখ নেই|যথেষ্ট তথ্য (?:না|নেই)|এখতিয়ারের বাইরে",
 )
-COURTESIES = r"(?i)\A\W*(?:please|kindly|try rephrasing|you may (?:want|wish)|you (?:could|should) (?:ask|contact|speak)|i hope|thanks?|thank you|sorry|apologies|i apologi[sz]e|hello|hi|hmm|dear|note|is there (?:something|anything)|unfortunately|regrettably|let me know|feel free|contact|after checking|at this time|দুঃখিত|ক্ষমা করবেন|অনুগ্রহ|ধন্যবাদ)\b[^0-9০-৯]{0,120}\z"
+COURTESIES = r"(?i)\A\W*(?:please|kindly|try rephrasing|you may (?:want|wish)|you (?:could|should) (?:ask|contact|speak)|i hope|thanks?|thank you|sorry|apologies|i apologi[sz]e|hello|hi|hmm|dear|note|is there (?:something|anything)|unfortunately|regrettably|let me know|feel free|contact|after checking|at this time|দুঃখিত|ক্ষমা করবেন|অনুগ্রহ|ধন্যবাদ)\b[^0-9০-৯]*\z"
 ENGLISH = ("the", "of", "to", "is", "and", "a", "an", "in", "for", "by", "on", "with", "from", "that", "it", "be", "not", "or", "as", "at", "may", "must", "shall", "are", "has", "have", "which", "within", "under", "no", "than", "if", "where", "when", "every", "years", "months", "days", "does", "so", "yes", "unless", "other", "any", "its", "per", "after", "before")
-ROMANISED = ("er", "ei", "hobe", "hoy", "hocche", "korte", "kore", "korbe", "korben", "dite", "jonno", "moddhe", "theke", "lagbe", "ache", "tobe", "ebong", "ke", "ki", "koto", "kobe", "jabe", "diner", "joma", "tarpor", "por", "age", "sathe", "niye", "bhangle", "nobayon", "niyom", "mash", "bochor", "taka", "jorimana", "jachai", "prothome", "kagojpotro", "onumoti", "agam", "jamanot", "na", "hole", "chara", "proti", "ekbar", "porjonto", "ta", "oi", "ar", "o", "meyad", "ji", "kono", "kintu", "ba", "jodi", "upor", "moto", "bole", "dewa", "neoya", "hoyeche", "paren", "pare", "thakbe", "dhara", "onujayi", "shate", "shorto")
-OTHER_LATIN = ("le", "la", "les", "des", "une", "est", "dans", "pour", "der", "die", "das", "und", "ist", "nicht", "von", "el", "los", "las", "una", "por", "para", "que", "con", "del", "oder", "mit", "sur", "avec", "pas", "ne", "hai", "ka", "ko", "se", "mein", "nahi", "aur", "liye", "hain")
+ROMANISED = (
+    "er", "ei", "oi", "ta", "eta", "ota", "sheta", "jeta", "ekta", "ekti", "o", "ar", "ba", "ebong", "kintu", "tobe", "jodi", "jodio", "tahole", "karon", "tai", "tarpor", "ami", "amar", "amra", "amader", "apni", "apnar", "apnake", "tumi", "tomar", "se", "tar", "tara", "tader",
+    "ke", "ki", "koto", "kobe", "kothay", "keno", "kemon", "kivabe", "kibhabe", "kono", "kichu", "onek", "beshi", "kom", "shob", "sob", "protyek", "proti", "shudhu", "matro", "na", "nei", "nai", "ji", "hae", "hobe", "hoy", "hoyna", "holo", "hole", "hocche", "hoyeche", "chilo", "ache", "thake", "thakle", "thakbe",
+    "korte", "kore", "korbe", "korben", "korle", "korar", "korun", "dite", "dile", "dibe", "diben", "diye", "dewa", "neoya", "nite", "nibe", "niye", "jabe", "jete", "asbe", "lagbe", "pare", "paren", "pari", "parbe", "parben", "bole", "bolte",
+    "jonno", "moddhe", "theke", "porjonto", "por", "pore", "age", "agei", "sathe", "shate", "chara", "upor", "opor", "niche", "moto", "onujayi", "ekhane", "sekhane", "jekhane", "abar", "aro", "ekbar", "prothome",
+)
+OTHER_LATIN = (
+    "le", "la", "les", "des", "du", "une", "est", "dans", "pour", "sur", "avec", "pas", "ne", "qui", "que", "aux", "ou", "der", "die", "das", "und", "ist", "nicht", "von", "oder", "mit", "ein", "eine", "auf", "für", "dem", "den", "wird",
+    "el", "los", "las", "una", "por", "para", "con", "del", "se", "es", "como", "il", "che", "di", "della", "sono", "não", "uma", "com", "dos", "hai", "ka", "ko", "mein", "nahi", "aur", "liye", "hain", "ki", "kya", "yang", "dan", "untuk", "tidak", "ini", "bir", "ve", "için",
+)
 
-#: Share of a tail's occurrences that end a sentence, at or below which an unfinished answer counts as broken off;
-#: the second holds where a longer version of the answer, or a spike of answer lengths, is further evidence.
-ENDS_SELDOM, ENDS_SELDOM_SHORTENED = 0.02, 0.1
+#: Share of its occurrences at which a run of words ends a sentence, up to which an unfinished answer that ends with it
+#: counts as broken off: where only such runs that go on speak for it, and where the answer's length does.
+ENDS_SELDOM, ENDS_SOMETIMES = 0.02, 0.5
 #: Occurrences that a run of words needs for its share to be trusted; else a shorter run is asked.
 TRUST = 5
 #: A length is a spike when it has this many times the unfinished answers of the lengths around it, and at least so many.
@@ -61,7 +69,7 @@ def _bare(text: Column) -> Column:
 
 def _visible(text: Column) -> Column:
     """Text without markup, entities, zero-width characters and outer blanks."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<[^<>]{0,200}>|&(?:nbsp|amp|quot|lt|gt|#\d+);?", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)</?[A-Za-z!][^<>]*>|&(?:nbsp|amp|quot|lt|gt|#\d+);?", " ")
     return _bare(F.regexp_replace(t, r"[​-‏⁠﻿­]", ""))
 
 
@@ -97,7 +105,7 @@ def features(pairs: DataFrame) -> DataFrame:
     # only a text that ends like a note, or has a line of sources, is searched for one
     noted = F.col("said").rlike(r"[\])]\z|(?i)\n\s*(?:sources?|references?|সূত্র)\s*:")
     out = out.withColumn("said", _bare(F.when(noted, F.regexp_replace("said", TAIL_NOTES, "")).otherwise(F.col("said"))))
-    own = F.regexp_replace(F.regexp_replace("said", r"[“\"«][^”\"»\n]{0,200}[”\"»]", " "), r"\A[A-Za-z][A-Za-z \-]{0,60}: ", "")
+    own = F.regexp_replace(F.regexp_replace("said", r"[“\"«][^”\"»\n]*[”\"»]", " "), r"\A[A-Za-z][A-Za-z \-]{0,60}: ", "")
     out = out.withColumns({"q_words": F.array_distinct(_words(F.col("question"))), "a_words": _words(F.col("said")), "own": own})
     return out.withColumn("latin", F.split(F.regexp_replace(F.lower("own"), r"[^a-zà-ž]+", " "), " "))
 
@@ -137,8 +145,10 @@ def is_other_language() -> Column:
     q_la = without("question", "[A-Za-z]+") > 0
     count = lambda names: F.size(F.filter("latin", lambda w: w.isin(*names)))
     english, bangla, latin = count(ENGLISH), count(ROMANISED), count(OTHER_LATIN)
-    romanised = (bangla >= 2) & (bangla > english)
-    foreign_latin = (latin >= 2) & (latin > 2 * english)
+    # one such word tells as much where a sentence's worth of words has none in English
+    alone = (english == 0) & (F.size(F.filter("latin", lambda w: F.length(w) > 1)) >= 4)
+    romanised = ((bangla >= 2) & (bangla > english)) | ((bangla == 1) & alone)
+    foreign_latin = ((latin >= 2) & (latin > 2 * english)) | ((latin == 1) & alone)
     return F.when(q_bn, ((la > bn) & ~romanised) | (other > bn + la)).when(q_la, (bn > la) | (other > bn + la) | ((bn <= la) & (romanised | foreign_latin))).otherwise(False)
 
 
@@ -146,26 +156,60 @@ def _tokens(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?U)[^\s,;:()“”\"]+|[,;:]"), F.lit(0))
 
 
-def _tails(tokens: Column) -> list[Column]:
-    """Hashes of the last three, two and one tokens; null where there are fewer."""
-    n = F.size(tokens)
-    return [F.when(n >= k, F.xxhash64(F.lit(k), *[F.get(tokens, n - k + j) for j in range(k)])) for k in (3, 2, 1)]
+def _tail(tokens: Column, end: Column, k: int) -> tuple[Column, Column]:
+    """(head, last) of the run of `k` tokens before `end`: a hash of the tokens before its last one and of that one's first letter, and the last one.
+
+    Runs that only differ in how far their last token goes have the same head, so they are neighbours in the order of their
+    last tokens; the first letter keeps the runs after a frequent word from meeting in one task.
+    """
+    last = F.get(tokens, end - 1)
+    return F.xxhash64(F.lit(k), *[F.get(tokens, end - k + j) for j in range(k - 1)], F.substring(last, 1, 1)), last
+
+
+def open_tails(bodies: DataFrame) -> DataFrame:
+    """(body, n_tokens, k, head, last): the last three, two and one tokens of bodies; a row for each that there is."""
+    n = F.size("_w")
+    runs = [F.when(n >= k, F.struct(F.lit(k).alias("k"), *[c.alias(x) for c, x in zip(_tail(F.col("_w"), n, k), ("head", "last"))])) for k in (3, 2, 1)]
+    rows = bodies.select("body", _tokens(F.col("body")).alias("_w"))
+    return rows.select("body", n.alias("n_tokens"), F.inline(F.filter(F.array(*runs), lambda x: x.isNotNull())))
+
+
+#: Heads of unfinished tails that go to all tasks, 8 bytes each, so that other runs leave before they are counted; more of them meet the counted runs in a shuffle.
+BROADCAST_HEADS = 1_000_000
 
 
-def ending_counts(parts: DataFrame) -> DataFrame:
-    """(run, ends, all): for every run of one to three tokens of every sentence, how often it ends a finished one. Summed on the map side first."""
+def tail_counts(parts: DataFrame, tails: DataFrame) -> DataFrame:
+    """(head, last, ends, goes, inside): of every run of tokens with the head of an unfinished tail, how often it ends a finished sentence and how
+    often a sentence goes on after it, and whether the next run in order goes on inside its last token."""
     n = F.size("_w")
 
     def runs(k: int) -> Column:
-        def at(i: Column) -> Column:
-            run = F.xxhash64(F.lit(k), *[F.get("_w", i + j) for j in range(k)])
-            return F.struct(run.alias("run"), ((i + k == n) & F.col("ended")).cast("int").alias("end"), ((i + k < n) | F.col("ended")).cast("int").alias("one"))
+        def at(end: Column) -> Column:
+            head, last = _tail(F.col("_w"), end, k)
+            return F.struct(head.alias("head"), last.alias("last"), ((end == n) & F.col("ended")).cast("int").alias("ends"), (end < n).cast("int").alias("goes"))
 
-        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), at)).otherwise(F.array().cast("array<struct<run:bigint,end:int,one:int>>"))
+        return F.when(n >= k, F.transform(F.sequence(F.lit(k), n), at)).otherwise(F.array().cast("array<struct<head:bigint,last:string,ends:int,goes:int>>"))
 
     each = parts.select(_tokens(F.col("body")).alias("_w"), "ended", "times")
     each = each.select("times", F.inline(F.concat(runs(1), runs(2), runs(3))))
-    return each.groupBy("run").agg(F.sum(F.col("end") * F.col("times")).alias("ends"), F.sum(F.col("one") * F.col("times")).alias("all"))
+    heads = written(tails.select("head").distinct())
+    few = heads.count() <= BROADCAST_HEADS
+    each = each.join(F.broadcast(heads), "head", "left_semi") if few else each
+    counted = each.groupBy("head", "last").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("ends", "goes")])
+    counted = counted if few else counted.join(heads, "head", "left_semi")
+    after = F.lead("last").over(Window.partitionBy("head").orderBy("last"))
+    return counted.withColumn("inside", F.coalesce(F.startswith(after, F.col("last")), F.lit(False)))
+
+
+def tail_evidence(parts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(body, n_tokens, cut_tail, share) of unfinished bodies: whether a neighbour in the order of runs goes on where the body's last tokens stop, and
+    the share of such runs that end a finished sentence, of the longest run that is seen often enough."""
+    tails = written(open_tails(bodies))
+    met = tails.join(tail_counts(parts, tails), ["head", "last"])
+    seen = F.col("ends") + F.col("goes")
+    share = F.col("ends") / seen
+    trusted = F.max_by(share, F.when((seen >= F.when(F.col("k") > 1, TRUST).otherwise(1)), F.col("k")))
+    return met.groupBy("body", "n_tokens").agg(F.bool_or((F.col("goes") > 0) | F.col("inside")).alias("cut_tail"), F.coalesce(trusted, F.lit(0.0)).alias("share"))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +256,16 @@ def length_spikes(open_answers: DataFrame) -> DataFrame:
     return near.where((F.col("here") >= SPIKE_ROWS) & (F.col("size") >= SPIKE_FROM) & (F.col("here") > SPIKE_TIMES * (usual + 1))).select("pair_table", "size")
 
 
-def defects(pairs: DataFrame) -> DataFrame:
+def defects(pairs: DataFrame, neighbours: bool = True) -> DataFrame:
     """(pair_table, pair_key, defect) of every defective pair among (pair_table, pair_key, question, answer); at most one defect each.
 
-    `empty`, `copied_question`, `refusal` and `other_language` are rules on the pair. For `truncated`, all answers'
-    sentences, numbers masked, are sorted and neighbours compared for shortened versions, lengths at which unfinished
-    answers pile up are found, and the last words of an unfinished answer are held against how often they end a sentence
-    anywhere: words that go on nearly always show a break. A missing full stop alone shows none. Null keys are kept as
-    they are, null questions are empty ones, repeated rows count once, and an empty table gives an empty result.
+    `empty`, `copied_question`, `refusal` and `other_language` are rules on the pair. An unfinished answer is `truncated` if
+    a neighbour in sorted order shows it to be a shortened version, of a whole sentence (all answers' sentences, numbers
+    masked) or of a run of last words that others go on from, or if its length is one at which unfinished answers pile
+    up. Two things speak against it: the sentence stands finished elsewhere, and, where only the last words or the length
+    speak for a cut, those words often end a sentence. A missing full stop alone shows none. Open brackets, figures broken
+    off and dots at the end need no neighbour. Null keys are kept as they are, null questions are empty ones, repeated rows
+    count once, and an empty table gives an empty result. Without `neighbours` no answer is held against others.
     """
     rows = features(pairs.select("pair_table", "pair_key", "question", "answer"))
     rule = F.when(is_empty(), "empty").when(is_copied(), "copied_question").when(is_refusal(), "refusal").when(is_other_language(), "other_language")
@@ -233,22 +279,23 @@ def defects(pairs: DataFrame) -> DataFrame:
     last = F.element_at("_s", -1)
     opened = said.where((F.size("_s") > 0) & (~F.col("said").rlike(ENDED) | F.col("said").rlike(OPEN_END)))
     opened = opened.select("pair_table", "pair_key", F.length("said").alias("size"), "said", _body(last).alias("body"), last.rlike(OPEN_END).alias("dots"))
-    tails = _tails(_tokens(F.col("body")))
     broken = F.col("said").rlike(r"[0-9০-৯],[0-9০-৯]{1,2}\s*\z") | F.col("said").rlike(r"(?s)\([^()]*\z|“[^”]*\z")
-    opened = written(opened.select("pair_table", "pair_key", "size", "body", "dots", broken.alias("broken"), *[t.alias(f"t{k}") for t, k in zip(tails, (3, 2, 1))]))
+    opened = written(opened.select("pair_table", "pair_key", "size", "body", "dots", broken.alias("broken")))
 
     finished = parts.where("ended").select("body", F.lit(True).alias("whole"))
-    wanted = opened.select(F.explode(F.array("t3", "t2", "t1")).alias("run")).where(F.col("run").isNotNull()).distinct()
-    counts = written(ending_counts(parts).join(wanted, "run", "left_semi"))
-    longer = shortened(parts.select("body").distinct()).select("body", F.lit(True).alias("longer"))
-    judged = opened.join(finished, "body", "left").join(longer, "body", "left")
-    judged = judged.join(length_spikes(opened).withColumn("spike", F.lit(True)), ["pair_table", "size"], "left")
-    for k in (3, 2, 1):
-        judged = judged.join(counts.select(F.col("run").alias(f"t{k}"), F.col("ends").alias(f"e{k}"), F.col("all").alias(f"n{k}")), f"t{k}", "left")
-    share = F.coalesce(*[F.when(F.col(f"n{k}") >= TRUST, F.col(f"e{k}") / F.col(f"n{k}")) for k in (3, 2)], F.when(F.col("n1") > 0, F.col("e1") / F.col("n1")), F.lit(0.0))
-    bound = F.when(F.col("longer") | F.col("spike"), ENDS_SELDOM_SHORTENED).otherwise(ENDS_SELDOM)
-    cut = F.col("dots") | F.col("broken") | (F.col("whole").isNull() & (share <= bound))
-    truncated = judged.where(cut).select("pair_table", "pair_key", F.lit("truncated").alias("defect"))
+    bodies = opened.select("body").distinct().join(finished, "body", "left_anti")
+    judged = opened.join(length_spikes(opened).withColumn("spike", F.lit(True)), ["pair_table", "size"], "left")
+    if neighbours:
+        longer = shortened(parts.select("body").distinct()).select("body", F.lit(True).alias("longer"))
+        held = tail_evidence(parts, bodies).join(longer, "body", "left")
+        judged = judged.join(held, "body", "left")
+        # a body of hardly more words than a run has is judged as one
+        shorter = F.col("longer") & (F.col("n_tokens") > 3)
+        cut = shorter | (F.col("cut_tail") & (F.col("share") <= ENDS_SELDOM)) | (F.col("spike") & (F.col("share") <= ENDS_SOMETIMES))
+    else:
+        judged = judged.join(bodies.withColumn("n_tokens", F.lit(0)), "body", "left")
+        cut = F.col("spike") & F.col("n_tokens").isNotNull()
+    truncated = judged.where(F.col("dots") | F.col("broken") | cut).select("pair_table", "pair_key", F.lit("truncated").alias("defect"))
     ruled = rows.where(F.col("rule").isNotNull()).select("pair_table", "pair_key", F.col("rule").alias("defect"))
     return ruled.unionByName(truncated).distinct()
 

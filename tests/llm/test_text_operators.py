@@ -25,15 +25,46 @@ def test_pair_defects_of_every_type(spark):
         (q, None), (q, "  \n"), (q, "<p></p>"), (q, "N/A"), (None, "None"),
         (q, q), (q, "You asked: " + q), (q, q.upper()), (q, q + " Within 30 days of the inspection visit."),
         (q, "I'm sorry, but I can't answer that."), (q, "That information is not available to me. Please provide more context."), (q, "It cannot be assigned; the Board refuses every such request."),
-        (q, "ধারা ৬ অনুযায়ী কমিশন ৮ মাস পরপর পরীক্ষা করবে।"), (q, "Niyom bhangle 500 taka jorimana hobe."), (q, "The heading reads “নিরাপত্তা পরিকল্পনা”, meaning the plan."), ("ফি কত?", "ফি ৫০ টাকা।"), ("ফি কত?", "The fee is 50 a year."),
+        (q, "ধারা ৬ অনুযায়ী কমিশন ৮ মাস পরপর পরীক্ষা করবে।"), (q, "Niyom bhangle 500 taka jorimana hobe."), (q, "The heading reads “নিরাপত্তা পরিকল্পনা”, meaning the plan."), ("ফি কত?", "ফি ৫০ টাকা।"), ("ফি কত?", "The fee is 50 a year."), (q, "Bei Verzug wird ein Bußgeld fällig."),
         (q, "The holder files it within 30 days of the inspec"), (q, "It comes to Taka 500 for each site plus"), (q, "The term is 9 years from the end of the quarter"), (q, "The term is 7 years from the end of…"),
     ]
     got = found_pairs(spark, rows)
-    want = ["empty"] * 5 + ["copied_question"] * 3 + [None] + ["refusal"] * 2 + [None] + ["other_language"] * 2 + [None, None, "other_language"] + ["truncated"] * 2 + [None, "truncated"]
+    want = ["empty"] * 5 + ["copied_question"] * 3 + [None] + ["refusal"] * 2 + [None] + ["other_language"] * 2 + [None, None, "other_language", "other_language"] + ["truncated"] * 2 + [None, "truncated"]
     assert [got.get(n + i) for i in range(len(want))] == want
     assert not any(i in got for i in range(n))
 
 
+PAYS = "The operator must pay the annual licence"
+
+
+def truncated_keys(spark, rows, **how):
+    df = spark.createDataFrame([("t", str(i), "What must the operator pay to the commission?", a) for i, a in enumerate(rows)], "pair_table string, pair_key string, question string, answer string")
+    return {int(r.pair_key) for r in pairs.defects(df, **how).where("defect = 'truncated'").collect()}
+
+
+def test_a_longer_neighbour_makes_an_answer_truncated_whatever_its_tail(spark):
+    rows = [PAYS, PAYS + " fee to the commission within thirty days of the invoice."] + [f"Office {chr(97 + i)} keeps a copy of the annual licence." for i in range(30)]
+    assert truncated_keys(spark, rows) == {0}
+    assert truncated_keys(spark, rows, neighbours=False) == set()
+    # the same words, finished elsewhere, are an answer
+    assert truncated_keys(spark, [*rows, PAYS + "."]) == set()
+
+
+def test_neighbouring_runs_of_last_words_show_a_cut(spark):
+    rows = ["Every holder of a permit shall keep the regis", "A carrier may ask for the", "A carrier may lodge it with the board"]
+    rows += [f"Office {chr(97 + i)} shall keep the register of towers, with the board." for i in range(8)]
+    assert truncated_keys(spark, rows) == {0, 1}
+    assert truncated_keys(spark, rows, neighbours=False) == set()
+    assert truncated_keys(spark, ["The fee is due on the qxzw", *rows[3:]]) == set()  # no neighbour goes on there
+
+
+def test_answers_stopping_at_a_length_limit_are_truncated(spark):
+    full = "clause {} tells that the holder pays a fee for each mast it puts up and for each site that it rents"
+    cut = [full.format(chr(97 + i // 8) + chr(97 + i % 8))[:78] for i in range(40)]
+    assert truncated_keys(spark, cut, neighbours=False) == set(range(40))
+    assert truncated_keys(spark, [c[: 38 + i] for i, c in enumerate(cut)], neighbours=False) == set()
+
+
 def test_pairs_of_an_empty_table_and_repeated_rows(spark):
     assert found_pairs(spark, []) == {}
     df = spark.createDataFrame([("t", "1", "q?", None)] * 3, "pair_table string, pair_key string, question string, answer string")
