@@ -52,10 +52,42 @@ def test_different_texts_of_a_large_class_are_all_linked(spark):
     assert got == {(a, b) for a in linked for b in linked if a < b} | {(100, 100 + i) for i in range(1, 40)}
 
 
-def test_ball_plan_keeps_its_recall():
-    for n in (10, 10_000, 10**9):
-        bits, count = neardup.ball_plan(n, 0.7)
-        assert (1 - neardup.within(bits, 2, 0.15)) ** count <= 0.003
+def test_ball_plan_keeps_its_recall_and_stays_small():
+    variants = []
+    for n in (10, 10_000, 10**6, 10**9, 10**12):
+        symbols, count = neardup.ball_plan(n, 0.7)
+        found = 0.7**symbols * neardup.within(neardup.BALL_BITS, 2, 0.15)
+        assert (1 - found) ** count <= 0.0005
+        variants.append(count * (neardup.BALL_BITS + 1))
+    assert variants == sorted(variants) and variants[-1] <= 350
+
+
+def test_fingerprints_meet_as_planned():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    symbols, count = neardup.ball_plan(1000, 0.7)
+    met = []
+    for _ in range(150):  # pairs of a likeness of 140 / 200
+        same, own = rng.integers(-(2**62), 2**62, 140), rng.integers(-(2**62), 2**62, 60)
+        lists = pa.array([np.sort(np.r_[same, own[:30]]), np.sort(np.r_[same, own[30:]])], pa.list_(pa.int64()))
+        (out,) = neardup._fingerprints(symbols, count)([pa.RecordBatch.from_arrays([pa.array([1, 2]), lists], names=["rep", "shingles"])])
+        x, y = (np.array(v, np.int64).view(np.uint64) for v in out.column(1).to_pylist())
+        met.append(any(int(d).bit_count() <= 2 and d < 256 for d in x ^ y))
+    assert np.mean(met) >= 0.97
+
+
+def test_split_buckets_give_the_same_pairs(spark):
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared[: rng.randint(20, 40)] + [f"w{rng.randrange(30)}" for _ in range(rng.randint(4, 20))])) for i in range(300)]
+    keys, classes, reps = neardup.near_classes(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"))
+    reps = neardup.written(reps)
+    got = [{tuple(r) for r in neardup.similar_pairs(reps, 300, 0.7, bucket=b).select("a", "b").collect()} for b in (2_000, 16)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    assert got[0] == got[1] and got[0] <= want and len(got[0]) >= 0.98 * len(want) > 100
 
 
 @pytest.mark.parametrize("groups_broadcast", [True, False])
