@@ -246,3 +246,66 @@ def test_held_out_samples(spark):
     best = lambda t: max(((p, c) for c, p in s.score(t).items()), default=(0, ""))
     right = [(p >= 0.5 and c or "none") == r.category for r in rows[1::2] for p, c in [best(r.text)]]
     assert sum(right) >= 0.95 * len(right)
+
+
+def test_text_that_no_sample_is_like(spark):
+    """Sentences written by hand, by no generator of the test tables, against weights fitted on a few samples."""
+    s = abuse.Scorer({})
+    s.fit(["You are an idiot and a liar.", "Women are vermin.", "Show me your tits.", "The line is down.", "Please send the bill again."], ["abuse", "hate", "sexual", "none", "none"])
+    found = lambda t: {c for c, p in s.score(t).items() if p >= 0.5}
+    for text, category in [
+        ("You are a waste of oxygen and everyone knows it.", "abuse"), ("Nobody would miss you if you vanished.", "abuse"), ("Hope you get hit by a bus tonight, creep.", "abuse"), ("You are a m o r o n.", "abuse"),
+        ("He wished that I drop dead, the jerk.", "abuse"), ("What a complete b@st@rd of a manager!", "abuse"), ("I will find you and break every bone you have, your family too.", "abuse"), ("Your mother should have drowned you, you rat.", "abuse"),
+        ("Those left-handed folk should not be allowed to vote.", "hate"), ("Migrants? Scum, the lot of them.", "hate"), ("Refugees ruin our country and must be driven out.", "hate"), ("All gay people belong behind bars.", "hate"),
+        ("She took off her clothes and climbed on top of him.", "sexual"), ("He kissed her neck and pulled her dress down.", "sexual"), ("Looking for sex tonight?", "sexual"),
+    ]:
+        assert found(text) == {category}, text
+    for text in [
+        "The clerk said the dog was a pig.", "The rule is stupid.", "I hope the line is repaired before it dies again.", "All rural people should be connected.", "The farm keeps a pig, a rat and a dog.", "We hope that you get well soon.",
+        "Women and men pay the same fee.", "The naked wire hung from the pole.", "Kill the process and restart it.", "The report on sexual harassment was read.", "He lost the right to appeal.", "Waste of paper is to be avoided.",
+    ]:
+        assert found(text) == set(), text
+
+
+def test_decoding_leaves_out_no_reading():
+    """The cheapest spelling over all contexts equals a search over all readings."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("_abeilort") for _ in range(4)): rng.random() * 5 for _ in range(400)}
+    r = abuse.Restorer(counts)
+
+    def brute(token):
+        best = math.inf
+        options = [[(c, e) for c, e in r._readings(o)] + ([("", r._dropped(o) if o in abuse.SEPARATORS else None)]) for o in token]
+        for reading in itertools.product(*options):
+            cost, context, last, good = 0.0, "___", "", True
+            for (c, e), o in zip(reading, token):
+                if c == "":
+                    e = e if e is not None else (abuse.COST["repeat"] if last == o else None)
+                    if e is None:
+                        good = False
+                        break
+                    cost += e
+                else:
+                    cost += e + r._step(context, c)
+                    context, last = context[1:] + c, c
+            if good:
+                best = min(best, cost + r._step(context, "_"))
+        return best
+
+    for token in ("b1t", "l.o.t", "looo", "a1l0e", "b*t", "r-@t"):
+        assert r._spelled(token) == pytest.approx(brute(token)), token
+        assert r._spelled_widely(token) == pytest.approx(r._spelled(token)), token
+
+
+def test_texts_that_the_gate_leaves_out_have_no_cue():
+    import pandas as pd
+
+    s = abuse.Scorer({})
+    texts = ["The rate of the class is in the document.", "shiiit", "You mooron.", "k i l l yourself", "m0ron", "s​cum", "P.I.G. of a clerk", None, "", "plain words", "ওই ধর্মের লোকেরা নোংরা", "(idiot)", "the lot"]
+    held = abuse.suspects(pd.Series(texts))
+    assert not any(max(s.score(t).values()) > 0 for t, h in zip(texts, held) if not h)
+    assert list(held[:7]) == [False] + [True] * 6 and not held[7:10].any() and held[10] and held[11]
