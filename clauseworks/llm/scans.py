@@ -25,13 +25,16 @@ _PUNCT = "\"'“”‘’«»()[]{}<>.,;:!?।…*_/\\—–-‐‑¬­|†"
 _EDGES = "\"'“”‘’«»()[]{}<>.,;:?।…*_/\\—–-‐‑¬­"
 #: Nats that a first and every further misread character of a word cost, and the characters of a word that may be misread.
 FIRST_SUB, NEXT_SUB, MOST_SUBS = 3.0, 1.0, 3
+#: Places at which a word may be misread, up to which its readings are written out, and the characters up to which a string is taken for a word or a part of one.
+MOST_PLACES, LONGEST_WORD = 24, 64
 #: Nats that a lost or an added blank costs, and those of every character of a word that no clean text has.
 BLANK, LETTER = 3.0, 2.5
 #: Words of one letter, which the vocabulary leaves out, with their cost.
 ONE_LETTER = {"a": 3.9}
 
 _BN = {ord("০") + i: str(i) for i in range(10)}
-_PAGE = re.compile(r"(?i)[\s\-–—|\[\](){}<>*~•·.:_/]*(?:page|pg|p|পৃষ্ঠা|পৃ)?[\s\-–—|\[\](){}<>*~•·.:_/]*(\d{1,5})(?:\s*(?:of|/|এর)\s*\d{1,5})?[\s\-–—|\[\](){}<>*~•·.:_/]*\Z")
+_DECORATION = " \t\r\x0b\x0c\xa0-–—|[](){}<>*~•·.:_/"
+_PAGE = re.compile(r"(?i)(?:page|pg|p|পৃষ্ঠা|পৃ)?[\s\-–—|\[\](){}<>*~•·.:_/]*(\d{1,10})(?:\s*(?:of|/|এর)\s*\d{1,10})?")
 _BESIDE = re.compile(r"(?i)\A\s*(?:(?:page|p\.?)?\s*[|\[(–—-]?\s*\d{1,5}\s*[|\])–—-]?\s{2,}|\d{1,5}\s*[|–—]\s*)|(?:\s{2,}|\s*[|–—]\s*)(?:page|p\.?)?\s*[|\[(–—-]?\s*\d{1,5}\s*[|\])–—-]?\s*\Z")
 _LABEL = re.compile(r"\A[A-Z][a-z]+ (?:[A-Z]|\d{1,2}|[IVX]+)\Z")
 _LIST = re.compile(r"\A\s*(?:\(?(?:[a-z]|[ivx]+|\d{1,3}|[ক-হ]|[০-৯]{1,3})[.)]|[-•*–])\s+\S")
@@ -56,9 +59,7 @@ def _plain_digits(line: str) -> str:
 
 
 def _page_of(line: str, pages: set[int]) -> bool:
-    if len(line) > 60:
-        return False
-    m = _PAGE.match(_plain_digits(line))
+    m = _PAGE.fullmatch(_plain_digits(line).strip(_DECORATION))
     return bool(m) and int(m.group(1)) in pages
 
 
@@ -76,8 +77,8 @@ def _codes(title: str | None) -> set[str]:
 
 
 def _is_title(words: list[str], title: list[str], codes: set[str]) -> bool:
-    """Three or more words that stand in the title one after the other, the last perhaps cut short; or the title's own code in a short line."""
-    if len(words) <= 14 and not codes.isdisjoint(words):
+    """Three or more words that stand in the title one after the other, the last perhaps cut short; or the title's own code in a short line or among the title's words."""
+    if not codes.isdisjoint(words) and (len(words) <= 14 or 2 * sum(w in title for w in words) >= len(words)):
         return True
     if len(words) < 3:
         return False
@@ -109,7 +110,7 @@ class Layout:
             if self.kinds[i] != "content":
                 continue
             line = self.lines[i].strip()
-            if len(line) > 110 or _ended(line) or _LIST.match(line):
+            if _ended(line) or _LIST.match(line):
                 continue
             bare, digits = line, _plain_digits(line)
             m = _BESIDE.search(digits) if any(c.isdigit() for c in digits[:9] + digits[-9:]) else None
@@ -122,7 +123,7 @@ class Layout:
                 self.kinds[i] = "header"
                 continue
             capital = [w for w in re.findall(r"[^\W\d_]{2,}", bare) if len(w) > 3]
-            if not capital or not all(w[0].isupper() for w in capital) or len(words) > 10 or _LABEL.match(bare) or (len(words) < 2 and not bare.isupper()):
+            if not capital or not all(w[0].isupper() for w in capital) or _LABEL.match(bare) or (len(words) < 2 and not bare.isupper()):
                 continue
             before = [j for j in full[:n] if self.kinds[j] == "content"][-1:]
             cuts = bool(before) and not _ended(self.lines[before[0]]) and not _LABEL.match(self.lines[before[0]].strip()) and n + 1 < len(full)
@@ -159,7 +160,7 @@ def broken_words(lines: list[str]) -> Iterator[tuple[int, str, str]]:
         rest = after.split(None, 1)[:1] if part else None
         if part and rest and rest[0][:1].isalnum():
             first, second = part.lstrip(_EDGES), rest[0].rstrip(_EDGES)
-            if first and second and len(first) + len(second) <= 60:  # longer ones are no words
+            if first and second and len(first) + len(second) <= LONGEST_WORD:
                 yield i, first, second
 
 
@@ -198,16 +199,19 @@ def _tokens(stream: Column) -> Column:
     return F.filter(clean, lambda w: w.rlike(r"(?U)\p{L}") & (F.length(w) > 1))
 
 
+def _places(word: str) -> list[tuple[int, str, str]]:
+    return [(i, a, b) for i in range(len(word)) for a, b in CONFUSIONS if word.startswith(a, i)]
+
+
 def readings(word: str, most: int = MOST_SUBS) -> dict[str, int]:
     """What a written word may have been, with the number of misread places: all ways to undo up to `most` confusions."""
     out: dict[str, int] = {word: 0}
-    places = [(i, a, b) for i in range(len(word)) for a, b in CONFUSIONS if word.startswith(a, i)]
+    places = _places(word)
 
     def go(at: int, k: int, built: str, subs: int) -> None:
-        if subs and (whole := built + word[at:]) not in out:
-            out[whole] = subs
-        elif subs:
-            out[whole] = min(out[whole], subs)
+        if subs:
+            whole = built + word[at:]
+            out[whole] = min(out.get(whole, subs), subs)
         if subs == most:
             return
         for j in range(k, len(places)):
@@ -215,13 +219,48 @@ def readings(word: str, most: int = MOST_SUBS) -> dict[str, int]:
             if i >= at:
                 go(i + len(a), j + 1, built + word[at:i] + b, subs + 1)
 
-    # a word full of doubtful letters is searched less deeply, so that the number of readings stays moderate
-    if len(places) > 24:
-        most = min(most, 2)
     go(0, 0, "", 0)
     return out
 
 
+def listed(word: str) -> bool:
+    """Whether a word's readings are few enough to be written out; the others are met by their strokes."""
+    return len(word) <= LONGEST_WORD and len(_places(word)) <= MOST_PLACES
+
+
+def strokes(word: Column) -> Column:
+    """What is left of a word when characters that are confused are made alike: every reading of a word has the word's own strokes."""
+    alike = {"i": "l1!|t†7+f£rnuhbm68ﬁﬂﬀ", "c": "o0e3€¢", "s": "$5", "g": "9q", "a": "@4", "v": "wy", "z": "2"}
+    one = F.translate(word, "".join(alike.values()), "".join(c * len(held) for c, held in alike.items()))
+    return F.regexp_replace(F.regexp_replace(F.replace(one, F.lit("d"), F.lit("ci")), "i+", "i"), "v+", "v")
+
+
+def misread_places(written_word: str, reading: str, most: int = MOST_SUBS) -> int | None:
+    """The fewest confusions that make `written_word` of `reading`, if there are at most `most`."""
+    states = {(0, 0): 0}
+    for i in range(len(written_word)):
+        for (at, j), subs in [x for x in states.items() if x[0][0] == i]:
+            steps = [(1, 1, 0)] if j < len(reading) and written_word[i] == reading[j] else []
+            steps += [(len(a), len(b), 1) for a, b in CONFUSIONS if written_word.startswith(a, i) and reading.startswith(b, j)]
+            for di, dj, cost in steps:
+                k, n = (i + di, j + dj), subs + cost
+                if n <= most and n < states.get(k, most + 1):
+                    states[k] = n
+            del states[(at, j)]
+    return states.get((len(written_word), len(reading)))
+
+
+def met_by_strokes(asked: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """(word, reading, subs) of the asked words whose readings are too many to write out: the vocabulary's words of the same strokes, checked one by one."""
+    @F.pandas_udf("int")
+    def checked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([misread_places(x, y, most) for x, y in zip(a, b)], dtype="Int32")
+
+    pairs = asked.select("word", strokes(F.col("word")).alias("_s")).join(words.select(F.col("word").alias("reading"), strokes(F.col("word")).alias("_s")), "_s")
+    pairs = pairs.where(F.length("reading").between(F.length("word") / 2, F.length("word") * 2))
+    return pairs.select("word", "reading", checked("word", "reading").alias("subs")).where("subs > 0")
+
+
 def number(word: str) -> str | None:
     """The number that a word of digits and letters read for digits stands for, if it is written like one."""
     if not re.search(r"\d", word) or not re.search(r"[^\W\d_]|[|!$]", word):
@@ -239,8 +278,10 @@ def _proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = number(w)
             if n:
                 rows.append((w, n, 1, True))
-            elif len(w) <= 40:
+            elif listed(w):
                 rows += [(w, c, s, False) for c, s in readings(w).items() if s]
+            elif len(w) <= LONGEST_WORD:
+                rows.append((w, None, 0, False))
         yield pd.DataFrame(rows, columns=["word", "reading", "subs", "is_number"])
 
 
@@ -249,7 +290,7 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for a, b in zip(pdf["a"], pdf["b"]):
             for whole in (a + b, f"{a}-{b}"):
-                rows += [(a, b, c, s) for c, s in (readings(whole, 2) if len(whole) <= 40 else {whole: 0}).items()]
+                rows += [(a, b, c, s) for c, s in (readings(whole, 2) if listed(whole) else {whole: 0}).items()]
         yield pd.DataFrame(rows, columns=["a", "b", "reading", "subs"])
 
 
@@ -273,6 +314,8 @@ def corrections(words: DataFrame) -> DataFrame:
     doubtful = doubtful.select("word", F.col("n").alias("own"), F.col("n_clean").alias("own_clean"))
     proposed = doubtful.select("word").repartition("word").mapInPandas(_proposed, "word string, reading string, subs int, is_number boolean")
     proposed = written(proposed)
+    many = met_by_strokes(proposed.where("reading IS NULL").select("word"), words, MOST_SUBS).withColumn("is_number", F.lit(False))
+    proposed = proposed.where("reading IS NOT NULL").unionByName(many)
     known = proposed.where(~F.col("is_number")).join(words.withColumnRenamed("word", "reading"), "reading").join(doubtful, "word")
     cost = F.log(F.col("n").cast("double")) - (FIRST_SUB + NEXT_SUB * (F.col("subs") - 1))
     plain = (F.col("own_clean") == 0) & (F.col("n_clean") >= 2) & (F.col("n_clean") >= F.col("own"))
@@ -285,6 +328,15 @@ def joins(laid: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b, whole, misread) of the distinct broken words: joined, or with the hyphen that belongs to them, as the vocabulary has it; its characters corrected."""
     pairs = laid.select(F.inline("breaks")).distinct()
     read = pairs.repartition("a", "b").mapInPandas(_joined, "a string, b string, reading string, subs int")
+    whole = pairs.select("a", "b", F.explode(F.array(F.concat("a", "b"), F.concat_ws("-", "a", "b"))).alias("word"))
+    whole = whole.where((F.length("word") > MOST_PLACES // 4) & (F.length("word") <= LONGEST_WORD))
+
+    @F.pandas_udf("boolean")
+    def unlisted(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda w: not listed(w)).astype(bool)
+
+    many = met_by_strokes(whole.select("word").distinct().where(unlisted("word")), words, 2)
+    read = read.unionByName(whole.join(many, "word").select("a", "b", "reading", "subs"))
     met = read.hint("merge").join(words.withColumnRenamed("word", "reading"), "reading")  # no broadcast: its size is guessed before the readings are made
     gain = F.log(F.col("n").cast("double")) - F.when(F.col("subs") > 0, FIRST_SUB + NEXT_SUB * F.col("subs")).otherwise(0.0)
     best = met.groupBy("a", "b").agg(F.max_by(F.struct("reading", "subs"), F.struct(gain, "reading")).alias("r"))
@@ -298,7 +350,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [
             (w, i, j, c, s)
-            for w in pdf["word"] for i in range(len(w)) for j in range(i + 2, len(w) + 1) if j - i < len(w)
+            for w in pdf["word"] for i in range(len(w)) for j in range(i + 2, min(len(w), i + LONGEST_WORD) + 1) if j - i < len(w)
             for c, s in readings(w[i:j], 1).items()
         ]
         yield pd.DataFrame(rows, columns=["word", "i", "j", "reading", "subs"])
@@ -321,7 +373,7 @@ def merges(words: DataFrame) -> DataFrame:
     one place. The parts meet the vocabulary in a shuffle; those of one word, bounded by its length, are decoded together.
     """
     every = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
-    unknown = words.where((F.col("n_clean") == 0) & F.length("word").between(4, 40) & F.col("word").rlike(r"(?U)^[\p{L}\p{N}!|$@€†+£¢]+$"))
+    unknown = words.where((F.col("n_clean") == 0) & (F.length("word") >= 4) & (F.length("word") <= LONGEST_WORD * 4) & F.col("word").rlike(r"(?U)^[\p{L}\p{N}!|$@€†+£¢]+$"))
     parts = unknown.select("word").repartition("word").mapInPandas(_parts, "word string, i int, j int, reading string, subs int")
     met = parts.hint("merge").join(words.where("n_clean >= 2").select(F.col("word").alias("reading"), "n"), "reading")
     cost = F.log(F.lit(float(max(every, 1)))) - F.log(F.col("n").cast("double")) + F.col("subs") * FIRST_SUB
@@ -369,7 +421,7 @@ def splits(laid: DataFrame, words: DataFrame, fixed: DataFrame) -> DataFrame:
     pair = lambda x, y: F.struct(F.regexp_replace(x.w, f"^{edge}", "").alias("a"), F.regexp_replace(y.w, f"{edge}!*$|!+$", "").alias("b"), (x.i != y.i).alias("line_end"))
     rows = laid.where("scanned").select("record_id", flat.alias("t")).where(F.size("t") > 1)
     rows = rows.select("record_id", F.inline(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), pair)))
-    rows = rows.where(F.col("a").rlike(r"(?U)^[\p{L}\p{N}]+$") & F.col("b").rlike(r"(?U)^[\p{L}\p{N}]+$") & F.concat("a", "b").rlike(r"(?U)\p{L}{2}") & (F.length("a") + F.length("b") <= 40))
+    rows = rows.where(F.col("a").rlike(r"(?U)^[\p{L}\p{N}]+$") & F.col("b").rlike(r"(?U)^[\p{L}\p{N}]+$") & F.concat("a", "b").rlike(r"(?U)\p{L}{2}") & (F.length("a") + F.length("b") <= LONGEST_WORD))
     # pairs of two frequent words of clean texts leave before the shuffle; only a filter, as for the misread words
     usual = words.where("n_clean > 0").orderBy(F.col("n").desc(), "word").limit(COMMON_WORDS).select("word", F.lit(True).alias("_u"))
     for c in ("a", "b"):
@@ -446,7 +498,7 @@ def paragraphs(lines: list[tuple[str, int, bool]]) -> list[list[str]]:
     if not lines:
         return []
     width = statistics.median(len(s.strip()) for s, _, _ in lines)
-    n, most = len(lines), 80
+    n = len(lines)
     evidence = [0.0] * n  # for a break before line i
     for i in range(1, n):
         (a, _, _), (b, blanks, furniture) = lines[i - 1], lines[i]
@@ -457,12 +509,15 @@ def paragraphs(lines: list[tuple[str, int, bool]]) -> list[list[str]]:
         e += -3.0 if start.islower() and not _LIST.match(b) else 0.0
         e -= 8.0 if _broken(a) else 0.0
         evidence[i] = e
+    # a paragraph's cost is linear in its lines from six on, so the best begin so far can be carried along
     best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    far, far_cost = 0, float("inf")
+    opens = lambda begin: best[begin] - (evidence[begin] if begin else 0.0)
     for end in range(1, n + 1):
-        for begin in range(max(0, end - most), end):
-            c = best[begin] - (evidence[begin] if begin else 0.0) + 0.01 * abs(end - begin - 6)
-            if c < best[end]:
-                best[end], back[end] = c, begin
+        if end >= 6 and opens(end - 6) - 0.01 * (end - 6) < far_cost:
+            far, far_cost = end - 6, opens(end - 6) - 0.01 * (end - 6)
+        near = ((opens(begin) + 0.01 * (6 - end + begin), begin) for begin in range(max(0, end - 5), end))
+        best[end], back[end] = min([(far_cost + 0.01 * (end - 6), far), *near])
     out, end = [], n
     while end:
         out.append([s for s, _, _ in lines[back[end] : end]])

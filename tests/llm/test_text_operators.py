@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from clauseworks.llm import abuse, pairs, scans, split
 
@@ -115,6 +116,37 @@ def test_lost_and_added_blanks_are_decoded(spark):
     assert fixed == "The holder of the licence shall maintain the equipment in working order. Every western operator must publish the outage register and the in-building plan of the licence in working"
 
 
+def test_words_with_many_doubtful_places_are_met_by_their_strokes(spark):
+    spelled = "intercontinentalinterconnection"
+    assert not scans.listed(spelled)
+    read = spelled.replace("o", "0", 1).replace("ec", "ee", 1)
+    assert scans.misread_places(read, spelled) == 2 and scans.misread_places("modem", "modern") == 1 and scans.misread_places("abc", "xyz") is None
+    text = f"The holder of the licence shall maintain the {read} in working order\nand the {spelled[:12]}-\n{read[12:]} too"
+    df = spark.createDataFrame([(i, TITLE, CLEAN + f" The {spelled} of the licence.", None, None) for i in range(10)] + [(1000, TITLE, text, [], None)], SCHEMA)
+    got = {(r.kind, r.fragment) for r in scans.defects(df).where("record_id = 1000").collect()}
+    assert {("misread", spelled), ("split_word", spelled)} <= got
+    pairs = spark.createDataFrame([("x" + a + "kp", "x" + b + "kp") for a, b in scans.CONFUSIONS], "a string, b string")
+    assert pairs.where(scans.strokes(F.col("a")) != scans.strokes(F.col("b"))).collect() == []
+
+
+def test_long_lines_and_long_paragraphs_are_read_whole():
+    title = "Rules " + " ".join(f"Part{c}" for c in "abcdefghijklmnopqrstuvwxyz") + " on Towers"
+    layout = scans.Layout(f"{title}\nthe text goes on\n{'-' * 200} 12 {'-' * 200}\nand on.", title, {12})
+    assert layout.kinds == ["header", "content", "page", "content"]
+    lines = [(f"line {i} of one sentence that goes on and on without an end,", 0, False) for i in range(300)]
+    assert [len(p) for p in scans.paragraphs(lines)] == [300]
+
+
+def test_paragraphs_are_the_cheapest_of_all(spark):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(30):
+        lines = [(rng.choice(("the words go on", "It ends here.", "(a) an item", "Short.", "a long line that fills the whole width of the page")), rng.choice((0, 0, 0, 1)), False) for _ in range(9)]
+        got = scans.paragraphs(lines)
+        assert sum(map(len, got)) == 9 and [x for p in got for x in p] == [s for s, _, _ in lines]
+
+
 def test_scans_of_an_empty_table(spark):
     assert scans.defects(spark.createDataFrame([], SCHEMA)).count() == 0
 
