@@ -10,6 +10,8 @@ from clauseworks.operators.materialize import written
 
 #: Documents in a slice of a source; prefix sums run over slices first, then inside each, so no task holds a source.
 DOCS_PER_SLICE = 20_000
+#: Targets that go to all tasks, some 60 bytes each; more of them meet the documents in a shuffle.
+BROADCAST_TARGETS = 100_000
 
 
 def inverse_demand(x: Column, slope: Column) -> Column:
@@ -23,8 +25,17 @@ def inverse_demand(x: Column, slope: Column) -> Column:
     return F.when(F.abs(a) < 1e-9, x).otherwise((root - b) / (2 * a))
 
 
+def position_at(time: Column, drift: Column) -> Column:
+    """The part of the mixture's tokens that are asked for until a time.
+
+    The schedules of all sources add up to 1 + drift * (2t - 1), `drift` being their slopes weighted by tokens. Counted in
+    tokens asked for instead of time, each source's weight is its schedule by their sum, so the weights add up to 1 everywhere.
+    """
+    return time + drift * (time * time - time)
+
+
 def plan(sizes: DataFrame, targets: DataFrame, source_col: str = "source", slopes: dict[str, float] | None = None) -> DataFrame:
-    """One row per target: (source, target_share, max_repeats, source_tokens, total_tokens, demand, used_tokens, slope, reachable).
+    """One row per target: (source, target_share, max_repeats, source_tokens, total_tokens, demand, used_tokens, slope, drift, reachable).
 
     The total is that of all documents, those without a source or target included. A source's demand is its share of the
     total; it supplies its tokens times its repeats. A source without documents supplies nothing. Targets with a null
@@ -41,9 +52,10 @@ def plan(sizes: DataFrame, targets: DataFrame, source_col: str = "source", slope
     slope = F.lit(0.0)
     for name, value in (slopes or {}).items():
         slope = F.when(F.col(source_col) == name, F.lit(float(value))).otherwise(slope)
-    return known.withColumns({"source_tokens": F.coalesce("source_tokens", F.lit(0)), "source_docs": F.coalesce("source_docs", F.lit(0))}).withColumns(
-        {"demand": demand, "used_tokens": F.least(demand, supply.cast("double")), "slope": slope, "reachable": supply >= demand}
-    )
+    known = known.withColumns({"source_tokens": F.coalesce("source_tokens", F.lit(0)), "source_docs": F.coalesce("source_docs", F.lit(0))})
+    known = written(known.withColumns({"demand": demand, "used_tokens": F.least(demand, supply.cast("double")), "slope": slope, "reachable": supply >= demand}))
+    used, leant = known.agg(F.sum("used_tokens"), F.sum(F.col("used_tokens") * F.col("slope"))).first()  # two numbers
+    return known.withColumn("drift", F.lit(leant / used if used else 0.0))
 
 
 def arrange(sizes: DataFrame, goals: DataFrame, id_col: str = "doc_id", docs_per_slice: int = DOCS_PER_SLICE) -> DataFrame:
@@ -51,11 +63,13 @@ def arrange(sizes: DataFrame, goals: DataFrame, id_col: str = "doc_id", docs_per
 
     Each source's weight schedule is integrated to its cumulative token demand. A source's documents stand in hash order;
     the use that covers tokens [c, c + n) of its demand is due when c + n/2 of it has been asked for, found by inverting
-    the demand. Sources repeat whole passes until demand or `max_repeats` ends them; a use is kept if its middle is
+    the demand; its position is counted in tokens of the mixture. Sources repeat whole passes until demand or `max_repeats` ends them; a use is kept if its middle is
     within the demand, so a source is off by half a document at most. Texts without tokens, texts without source and
-    sources without target are left out. `goals` has one row per target, so it is broadcast.
+    sources without target are left out.
     """
-    rows = sizes.where(F.col("n_tokens") > 0).join(F.broadcast(goals.select("source", "max_repeats", "used_tokens", "source_tokens", "slope", "source_docs")), "source")
+    few = goals.count() <= BROADCAST_TARGETS
+    each = goals.select("source", "max_repeats", "used_tokens", "source_tokens", "slope", "drift", "source_docs")
+    rows = sizes.where(F.col("n_tokens") > 0).join(F.broadcast(each) if few else each, "source")
     slices = F.greatest(F.lit(1), F.ceil(F.col("source_docs") / docs_per_slice)).cast("int")
     rows = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_slice", F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * slices).cast("int"))
     per = rows.groupBy("source", "_slice").agg(F.sum("n_tokens").alias("_mass"))
@@ -68,7 +82,7 @@ def arrange(sizes: DataFrame, goals: DataFrame, id_col: str = "doc_id", docs_per
     rows = rows.withColumn("_uses", F.least(F.col("max_repeats"), F.greatest(F.lit(0), uses))).where(F.col("_uses") > 0)
     rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
     due = ((F.col("repeat") - 1) * F.col("source_tokens") + middle) / F.col("used_tokens")
-    return rows.select(id_col, "source", "repeat", "n_tokens", inverse_demand(due, F.col("slope")).alias("position"))
+    return rows.select(id_col, "source", "repeat", "n_tokens", position_at(inverse_demand(due, F.col("slope")), F.col("drift")).alias("position"))
 
 
 def mixture(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", slopes: dict[str, float] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -126,12 +126,12 @@ def test_mixture_shares_repeats_and_order(spark):
     docs = spark.createDataFrame(rows, DOCS)
     goals = spark.createDataFrame([("big", 0.5, 1), ("small", 0.25, 3), ("absent", 0.25, 9), ("small", 0.25, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     assert {r.source for r in mixture.short_sources(docs, goals).collect()} == {"small", "absent"}
-    mixed = mixture.mixture(docs, goals, slopes={"big": 0.5}).toPandas()
+    mixed = mixture.mixture(docs, goals, slopes={"big": 0.5, "small": -0.9}).toPandas()
     assert mixed.position.is_monotonic_increasing and mixed.position.between(0, 1).all()
     assert mixed[mixed.source == "small"].repeat.max() == 3 and mixed[mixed.source == "big"].repeat.max() == 1
     assert not mixed.duplicated(["doc_id", "repeat"]).any()
     big = mixed[mixed.source == "big"].position
-    assert (big > 0.5).mean() > 0.6  # the weight of a rising schedule lies late
+    assert (big > 0.5).mean() > 0.57  # the weight of a rising schedule lies late
     share = {r.source: r.share_of_target_total for r in mixture.shares(docs, goals).collect()}
     assert abs(share["big"] - 0.5) < 0.01 and abs(share["small"] - 60 / 320) < 0.01 and share["absent"] == 0
 
@@ -149,8 +149,35 @@ def test_registered_mixture_follows_the_schedules(spark):
     root = "/root/testdata/sf0.01"
     pytest.importorskip("os").path.exists(root) or pytest.skip("no test tables here")
     assert queries.SLOPES.keys() == {r.source for r in queries.table(spark, root, "mix_targets").select("source").distinct().collect()}
+    docs, targets = queries.table(spark, root, "documents"), queries.table(spark, root, "mix_targets")
+    drift = mixture.plan(mixture.sized(docs, "doc_id", "text", "source"), targets, slopes=queries.SLOPES).first().drift
     rows = queries.p7_mixture(spark, root).groupBy("source").agg((F.sum(F.col("position") * F.col("n_tokens")) / F.sum("n_tokens")).alias("mean"), F.count("*").alias("n")).where("n >= 30").collect()
-    assert len(rows) >= 5 and all(abs(r["mean"] - (0.5 + queries.SLOPES[r.source] / 6)) < 0.02 for r in rows)  # the mean time of a linear schedule
+    assert len(rows) >= 5 and all(abs(r["mean"] - (0.5 + (queries.SLOPES[r.source] - drift) / 6)) < 0.02 for r in rows)  # the mean position of a linear schedule
+
+
+def test_weights_add_up_at_every_position(spark):
+    """Of each tenth of the mixture, sources have the parts that their schedules have of the schedules' sum, and positions are tokens."""
+    sizes = spark.createDataFrame([(i, "abc"[i % 3], 10) for i in range(6000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.2, 1), ("c", 0.3, 1)], "source string, target_share double, max_repeats int")
+    slopes = {"a": 0.9, "b": -0.5, "c": 0.2}
+    mixed = mixture.arrange(sizes, mixture.plan(sizes, targets, slopes=slopes)).toPandas().sort_values("position")
+    assert abs(mixed.position.to_numpy() - [(i + 0.5) / len(mixed) for i in range(len(mixed))]).max() < 0.01
+    drift = (0.3 * 0.9 - 0.2 * 0.5 + 0.3 * 0.2) / 0.8
+    for k in range(10):
+        part = mixed[(mixed.position >= k / 10) & (mixed.position < (k + 1) / 10)].source.value_counts(normalize=True)
+        p = (k + 0.5) / 10
+        t = p if abs(drift) < 1e-9 else ((drift - 1) + ((1 - drift) ** 2 + 4 * drift * p) ** 0.5) / (2 * drift)
+        whole = sum(w * (1 + slopes[s] * (2 * t - 1)) for s, w in (("a", 0.3), ("b", 0.2), ("c", 0.3)))
+        for s, w in (("a", 0.3), ("b", 0.2), ("c", 0.3)):
+            assert abs(part[s] - w * (1 + slopes[s] * (2 * t - 1)) / whole) < 0.03
+
+
+def test_many_targets_meet_in_a_shuffle(spark, monkeypatch):
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], 5) for i in range(200)], "doc_id long, source string, n_tokens long")
+    goals = mixture.plan(sizes, spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 1)], "source string, target_share double, max_repeats int"))
+    one = {tuple(r) for r in mixture.arrange(sizes, goals).collect()}
+    monkeypatch.setattr(mixture, "BROADCAST_TARGETS", 0)
+    assert {tuple(r) for r in mixture.arrange(sizes, goals).collect()} == one
 
 
 def test_short_sources_come_from_the_arranged_mixture(spark, monkeypatch):
