@@ -41,6 +41,7 @@ def page_list(pages: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "), F.lit(""))
 
 
+# The wordings of embedded texts, context lines and score lines, which models and stored indexes rely on.
 def embed_text(summary: Column, chapter: Column, section: Column, text: Column) -> Column:
     """What is embedded for a whole subsection."""
     part = lambda c: F.coalesce(c, F.lit(""))
@@ -91,6 +92,12 @@ def context_header(i: Column, doc: Column, chapter: Column, section: Column, sub
     return F.concat(F.format_string("[Chunk %d] Document: %s", i, F.coalesce(doc, F.lit("Unknown"))), part("Chapter", chapter), part("Section", section), part("Subsection", subsection_id, "N/A"), part("Pages", pages))
 
 
+def gap_header(i: Column, doc: Column, section: Column, subsection_id: Column) -> Column:
+    """The line above a chunk where a model is asked what is missing: fixed places, empty ones included."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.format_string("[%d] ", i), part(doc), F.lit(" | "), part(section), F.lit(" | "), part(subsection_id))
+
+
 def engine_url(url: Column) -> Column:
     """A connection URL that names the driver."""
     return F.regexp_replace(url, r"\Apostgres(?:ql)?://", "postgresql+psycopg://")

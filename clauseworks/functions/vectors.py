@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,67 +45,96 @@ def decode_int8(values: Column) -> Column:
     return run(values)
 
 
-#: Queries that go to the executors at once; more are taken in further blocks.
-QUERY_BLOCK = 2_000
+#: Bytes of query vectors that go to all tasks at once; a larger query set is taken in further blocks, each one more scan of the vectors.
+QUERY_BYTES = 64 << 20
+#: Queries that a task multiplies with a batch at a time, so that the products stay small.
+QUERIES_AT_ONCE = 512
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, score, rank) of the `k` most similar vectors of each query, ties by the smaller id.
 
     `queries` has query_id and vector, `vectors` id and vector, both also `same` if only vectors with the query's value of
-    it may be hit. The query set is read in blocks of bounded size that go to all tasks; each task multiplies its Arrow
-    batches with the block and keeps k per query and batch, so only candidates are shuffled, never pairs. Scores are
-    rounded to 6 places before they are compared. Null and zero vectors score 0.
+    it may be hit. The query set goes to all tasks as a matrix of bounded size. Each task multiplies its Arrow batches
+    with it and keeps the best k of every query while it reads, so k rows per query and task are shuffled, never pairs.
+    Scores are rounded to 6 places before they are compared. Null and zero vectors, such with null elements and such of
+    another length score 0; null ids are left out, and so are null values of `same`.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     cols = ["query_id", "vector", *([same] if same else [])]
     asked = queries.select(*cols).where(F.col("query_id").isNotNull())
-    total = asked.count()
-    blocks = max(1, -(-total // block))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    id_type = vectors.schema["id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    out = None
+    total, size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, min(total, -(-total * 8 * max(1, size) // query_bytes)))
+    id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    rows = vectors.select("id", "vector", *([same] if same else [])).where(F.col("id").isNotNull())
+    hits = []
     for b in range(blocks):
-        rows = asked.where(F.col("_block") == b).collect()
-        q = [(r["query_id"], r["vector"] or [], r[same] if same else None) for r in rows]
-        hits = vectors.select("id", "vector", *([same] if same else [])).mapInArrow(_block_kernel(q, k, bool(same), vectors.sparkSession, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {query_type}, id {id_type}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    from pyspark.sql import Window
-
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        hits.append(rows.mapInArrow(_block_kernel(block.toArrow(), k, same, vectors.sparkSession), f"query_id {query_type}, id {id_type}, score double"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, hits).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _matrix(lists: pa.ListArray, size: int) -> np.ndarray:
+    """One row per list; zeros for lists that are null, of another length or have null elements."""
+    n, lists = len(lists), lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    values, lengths = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    if (lengths == size).all():
+        out = flat.reshape(n, size)
+    else:
+        out, fit = np.zeros((n, size)), lengths == size
+        out[fit] = flat[np.repeat(fit, lengths)].reshape(-1, size)
+    bad = ~np.isfinite(out).all(axis=1) if size else np.zeros(n, bool)
+    return np.where(bad[:, None], 0.0, out) if bad.any() else out
 
 
-def _block_kernel(queries: list, k: int, same: bool, spark, id_type: pa.DataType):
-    size = max((len(v) for _, v, _ in queries), default=0)
-    fit = lambda v: np.asarray(v, np.float64) if len(v) == size else np.zeros(size)
-    matrix = np.stack([fit(v) for _, v, _ in queries]) if queries else np.zeros((0, size))
-    lengths = np.linalg.norm(matrix, axis=1)
-    shared = spark.sparkContext.broadcast((matrix, lengths, [q for q, _, _ in queries], [s for _, _, s in queries]))
+def _block_kernel(queries: pa.Table, k: int, same: str | None, spark):
+    lists = queries.column("vector")
+    size = pc.max(pc.list_value_length(lists)).as_py() or 0
+    matrix = _matrix(lists, size)
+    shared = spark.sparkContext.broadcast((matrix, np.linalg.norm(matrix, axis=1), queries.column("query_id").combine_chunks(), queries.column(same).combine_chunks().unique() if same else None, queries.column(same).combine_chunks() if same else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, lengths, ids, wanted = shared.value
+        matrix, lengths, ids, labels, own = shared.value
+        if not len(ids):
+            return
+        wanted = pc.index_in(own, labels, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False) if same else None
+        starts = range(0, len(ids), QUERIES_AT_ONCE)
+        held, held_ids = [(np.empty(0, np.int64), np.empty(0)) for _ in starts], [None for _ in starts]  # queries and scores, ids kept so far
+        least = np.full(len(ids), -np.inf)  # the k-th best score of a query so far
         for batch in batches:
             n = batch.num_rows
-            if not n or not len(ids):
+            if not n:
                 continue
-            rows = [np.asarray(v, np.float64) if v is not None and len(v) == matrix.shape[1] else np.zeros(matrix.shape[1]) for v in batch.column(1).to_pylist()]
-            v = np.stack(rows)
-            scale = np.linalg.norm(v, axis=1)[:, None] * lengths[None, :]
-            score = np.round(np.divide(v @ matrix.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-            if same:
-                own = np.array(batch.column(2).to_pylist(), dtype=object)
-                score = np.where(own[:, None] == np.array(wanted, dtype=object)[None, :], score, -np.inf)
-            at, qs = [], []
-            for j in range(len(ids)):
-                col = score[:, j]
-                keep = np.arange(n) if n <= k else np.flatnonzero(col >= np.partition(col, n - k)[n - k])  # all ties of the k-th
-                keep = keep[col[keep] > -np.inf]
-                at.append(keep)
-                qs.append(np.full(len(keep), j))
-            at, qs = np.concatenate(at), np.concatenate(qs)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in qs], id_type), batch.column(0).take(pa.array(at)), pa.array(score[at, qs])], names=["query_id", "id", "score"])
+            v = _matrix(batch.column(1), matrix.shape[1])
+            norms = np.linalg.norm(v, axis=1)
+            mine = pc.index_in(batch.column(2), labels, skip_nulls=True).fill_null(-2).to_numpy(zero_copy_only=False) if same else None
+            for i, a in enumerate(starts):
+                b = min(len(ids), a + QUERIES_AT_ONCE)
+                scale = norms[:, None] * lengths[None, a:b]
+                score = np.round(np.divide(v @ matrix[a:b].T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+                if same:
+                    score[(mine[:, None] != wanted[None, a:b]) | (mine[:, None] < 0)] = -np.inf
+                floor = least[a:b] if n <= k else np.maximum(least[a:b], np.partition(score, n - k, axis=0)[n - k])
+                at, q = np.nonzero((score >= floor) & (score > -np.inf))
+                if not len(at):
+                    continue
+                fresh = batch.column(0).take(pa.array(at))
+                every = fresh if held_ids[i] is None else pa.concat_arrays([held_ids[i], fresh])
+                qs, ss = np.concatenate([held[i][0], q]), np.concatenate([held[i][1], score[at, q]])
+                # by query, best score, smaller id; the first k of each query stay
+                order = np.lexsort((pc.rank(every, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False), -ss, qs))
+                qs, ss = qs[order], ss[order]
+                first = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
+                place = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
+                stay = place < k
+                held[i], held_ids[i] = (qs[stay], ss[stay]), every.take(pa.array(order[stay]))
+                full = place == k - 1
+                least[a + qs[full]] = ss[full]
+        for a, (qs, ss), kept in zip(starts, held, held_ids):
+            if kept is not None:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qs + a)), kept, pa.array(ss)], names=["query_id", "id", "score"])
 
     return run

@@ -10,7 +10,8 @@ from clauseworks.functions.text import is_blank, strip
 PREAMBLE, GENERAL, UNNAMED, ORPHAN = "Preamble", "General", "N/A", "Introduction/Continuation"
 
 
-def _page_union(pages: Column) -> Column:
+def page_union(pages: Column) -> Column:
+    """The distinct pages of a group's lists in order: a set of numbers, bounded by a document's pages."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(pages))))
 
 
@@ -61,7 +62,7 @@ def merge_adjacent(rows: DataFrame, doc: str, order: str) -> DataFrame:
     out = rows.groupBy(doc, "_island").agg(
         F.min("_o").alias("_first"),
         F.min_by("chapter", "_o").alias("chapter"), F.min_by("section", "_o").alias("section"), F.first("subsection_id").alias("subsection_id"),
-        strip(_joined("subsection_text", "_o")).alias("subsection_text"), _page_union(F.col("page_numbers")).alias("page_numbers"),
+        strip(_joined("subsection_text", "_o")).alias("subsection_text"), page_union(F.col("page_numbers")).alias("page_numbers"),
     )
     return out.select(doc, (F.row_number().over(Window.partitionBy(doc).orderBy("_first")) - 1).alias("seq"), "chapter", "section", "subsection_id", "subsection_text", "page_numbers")
 
@@ -76,7 +77,7 @@ def merge_empty_headers(rows: DataFrame, doc: str, order: str) -> DataFrame:
     out = rows.groupBy(doc, "_run").agg(
         F.min("_o").alias("_first"),
         F.array_join(F.array_distinct(ordered("chapter")), " ").alias("chapter"), F.array_join(ordered("section"), " ").alias("section"),
-        F.max_by("subsection_id", "_o").alias("subsection_id"), F.min_by("subsection_text", "_o").alias("subsection_text"), _page_union(F.col("page_numbers")).alias("page_numbers"),
+        F.max_by("subsection_id", "_o").alias("subsection_id"), F.min_by("subsection_text", "_o").alias("subsection_text"), page_union(F.col("page_numbers")).alias("page_numbers"),
     )
     return out.select(doc, (F.row_number().over(Window.partitionBy(doc).orderBy("_first")) - 1).alias("seq"), "chapter", "section", "subsection_id", "subsection_text", "page_numbers")
 

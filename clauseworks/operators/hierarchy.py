@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseworks.functions.vectors import cosine
+from clauseworks.functions.vectors import cosine, exact_top_k
+from clauseworks.operators.materialize import written
 from clauseworks.schema import Config
 
 CONTAINMENT = ("doc_name", "chapter", "section")
@@ -30,18 +31,24 @@ def group_scores(hits: DataFrame, level: str, score: str = "base_score", count_b
 
 
 def filter_level(hits: DataFrame, level: str, keep: int, level_bonus: float = 0.10, count_bonus: float = 0.25, by: str = "query_id") -> DataFrame:
-    """Hits of the best groups, by base score; score gains level_bonus / (1 + rank), and the rank is kept as hier_<level>_rank."""
+    """Hits of the best groups, by base score; score gains level_bonus / (1 + rank), and the rank is kept as hier_<level>_rank.
+
+    Group scores and ranks are window aggregates, all inside a query, so hits that are partitioned by query stay where they
+    are and are read once. Groups of equal score rank by first appearance, then by name.
+    """
     keys = group_key(level)
-    best = group_scores(hits, level, "base_score", count_bonus, by).where(F.col("group_rank") < keep).drop("group_score")
     named = hits.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in keys})
-    out = named.join(best, [by, *keys])
-    return out.withColumn("score", F.col("score") + F.lit(level_bonus) / (1 + F.col("group_rank"))).withColumnRenamed("group_rank", f"hier_{level}_rank")
+    group = Window.partitionBy(by, *keys)
+    s = F.coalesce(F.col("base_score"), F.lit(0.0))
+    out = named.withColumns({"_gs": F.round(F.max(s).over(group) + count_bonus * F.avg(s).over(group), GROUP_PLACES), "_first": F.min("pos").over(group)})
+    out = out.withColumn("_gr", F.dense_rank().over(Window.partitionBy(by).orderBy(F.col("_gs").desc(), "_first", *keys)) - 1).where(F.col("_gr") < keep)
+    return out.withColumn("score", F.col("score") + F.lit(level_bonus) / (1 + F.col("_gr"))).withColumnRenamed("_gr", f"hier_{level}_rank").drop("_gs", "_first")
 
 
 def apply_levels(hits: DataFrame, levels: tuple[tuple[str, int], ...] = Config.levels, level_bonus: float = 0.10, count_bonus: float = 0.25, top_k: int | None = None, by: str = "query_id") -> DataFrame:
-    """Level after level, each seeing the survivors only and ranking by base score, bonuses adding up; sorted by boosted score, then position, and cut."""
+    """Level after level, each seeing the survivors only and ranking by base score, bonuses adding up; sorted by boosted score, then position, and cut. One exchange, by query."""
     start = hits.withColumns({"base_score": F.coalesce("score", F.lit(0.0)), "score": F.coalesce("score", F.lit(0.0))}) if "base_score" not in hits.columns else hits
-    out = reduce(lambda h, level: filter_level(h, level[0], level[1], level_bonus, count_bonus, by), levels, start)
+    out = reduce(lambda h, level: filter_level(h, level[0], level[1], level_bonus, count_bonus, by), levels, start.repartition(by))
     w = Window.partitionBy(by).orderBy(F.round("score", PLACES).desc(), "pos", "id")
     out = out.withColumn("rank", F.row_number().over(w))
     return out.where(F.col("rank") <= top_k) if top_k else out
@@ -51,17 +58,21 @@ def siblings(hits: DataFrame, candidates: DataFrame, query_vectors: DataFrame, l
     """Hits and the nearest members of their best groups that aren't hits already, flagged sibling_expanded.
 
     The groups are the best of the innermost level by raw score; blank values are skipped. Members are found by the level's
-    own value, so a section of the same name in another document counts; `qualified` asks for the parents too. Candidates
-    (id, vector, level columns) meet the few kept groups in an equi-join, and k are kept per group before anything else.
+    own value, so a section of the same name in another document counts; `qualified` asks for the parents too. Each kept
+    group is a query of the exact vector search over its own members (`candidates`: id, vector, level columns), so
+    candidates are read once and never joined with the groups. `hits` is written, as several steps read it.
     """
+    hits = written(hits)
     best = group_scores(hits, level, "score", by=by).where((F.col("group_rank") < groups) & (F.trim(F.col(level)) != ""))
     keys = group_key(level) if qualified else [level]
-    asked = best.select(by, *group_key(level), "group_rank").join(query_vectors.select(F.col(by), F.col("vector").alias("_qv")), by)
-    other = [c for c in group_key(level) if c not in keys]
-    found = candidates.join(asked.drop(*other), keys).withColumn("score", F.round(cosine(F.col("_qv"), F.col("vector")), PLACES)).drop("_qv", "vector")
-    w = Window.partitionBy(by, "group_rank").orderBy(F.col("score").desc(), "id")
-    found = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_group)
-    fresh = found.join(hits.select(by, "id"), [by, "id"], "left_anti")
+    named = lambda df: F.concat_ws("\u0001", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
+    asked = best.join(query_vectors.select(F.col(by), F.col("vector")), by).withColumn("_same", named(best))
+    asked = written(asked.select(by, "group_rank", *group_key(level), "vector", "_same", F.concat_ws("\u0001", F.col(by).cast("string"), F.col("group_rank").cast("string")).alias("_asked")))
+    near = exact_top_k(asked.select(F.col("_asked").alias("query_id"), "vector", "_same"), candidates.withColumn("_same", named(candidates)), per_group, "_same")
+    near = near.select(F.col("query_id").alias("_asked"), "id", F.col("rank").alias("_k"), "score")
+    found = near.join(asked.select("_asked", by, "group_rank"), "_asked").drop("_asked")
+    own = [c for c in candidates.columns if c in hits.columns and c not in ("id", "score", by)]
+    fresh = found.join(hits.select(by, "id"), [by, "id"], "left_anti").join(candidates.select("id", *own), "id")
     first = Window.partitionBy(by, "id").orderBy("group_rank", "_k")
     fresh = fresh.withColumn("_f", F.row_number().over(first)).where(F.col("_f") == 1)
     last = hits.groupBy(by).agg(F.max("pos").alias("_last"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import keyword_tokens
+from clauseworks.operators.materialize import written
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -18,17 +19,18 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, float]:
-    """(documents, average length), documents without tokens included; two numbers."""
-    n, avg = docs.select(F.col(id_col).alias("id"), F.size(keyword_tokens(F.col(text_col))).alias("dl")).dropDuplicates(["id"]).agg(F.count("*"), F.avg("dl")).first()
-    return n, float(avg or 0.0)
+def corpus_stats(docs: DataFrame, post: DataFrame, id_col: str = "id") -> tuple[int, float]:
+    """(documents, average length), documents without tokens included; two numbers. Lengths come from the postings, so no text is read again."""
+    n = docs.select(id_col).agg(F.count_distinct(F.struct(id_col))).first()[0]
+    tokens = post.agg(F.sum("tf")).first()[0] or 0
+    return n, tokens / n if n else 0.0
 
 
 def term_stats(post: DataFrame, documents: int, epsilon: float = 0.25) -> DataFrame:
     """(term, df, idf): ln((N - df + 0.5) / (df + 0.5)); negative ones become `epsilon` times the mean over the vocabulary before."""
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = df.withColumn("idf", idf)
+    df = written(df.withColumn("idf", idf))
     mean = df.agg(F.avg("idf")).first()[0]
     return df.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * mean if mean is not None else 0.0)).otherwise(F.col("idf")))
 
@@ -40,8 +42,9 @@ def save(path: str, docs: DataFrame, id_col: str, text_col: str) -> None:
     kept.write.mode("overwrite").parquet(f"{path}/documents")
     kept = spark.read.parquet(f"{path}/documents")
     postings(kept, "id", "text").write.mode("overwrite").parquet(f"{path}/postings")
-    n, average = corpus_stats(kept, "id", "text")
-    term_stats(spark.read.parquet(f"{path}/postings"), n).write.mode("overwrite").parquet(f"{path}/terms")
+    post = spark.read.parquet(f"{path}/postings")
+    n, average = corpus_stats(kept, post)
+    term_stats(post, n).write.mode("overwrite").parquet(f"{path}/terms")
     spark.createDataFrame([(n, average)], "documents bigint, average_length double").write.mode("overwrite").parquet(f"{path}/corpus")
 
 

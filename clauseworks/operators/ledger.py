@@ -50,8 +50,8 @@ def ingest(current: DataFrame, chunks: DataFrame, vectors: DataFrame | None, key
     """One idempotent run over documents (`current`: ledger key and compared fields) and their chunks (document, id, text, ...).
 
     A new index clears its records; documents the ledger knows unchanged are skipped; the others' vectors are embedded and
-    replace the ones they had; keyword rows likewise. The new ledger is the last to be written by the caller, after the
-    vectors and the keyword rows.
+    replace the ones they had; keyword rows likewise, those of the same index and namespace only. `plans.runner.ingest`
+    writes the results in order.
     """
     if new_index:
         names = current.select("index_name").distinct()
@@ -61,5 +61,6 @@ def ingest(current: DataFrame, chunks: DataFrame, vectors: DataFrame | None, key
     made = embed(fresh)
     kept = None if vectors is None else vectors.join(todo.select(*KEY), KEY, "left_anti")
     stored = made if kept is None else kept.unionByName(made.select(kept.columns))
-    words = keyword.join(todo.select("document"), "document", "left_anti").unionByName(fresh.select(keyword.columns))
+    same = [c for c in KEY if c in keyword.columns]
+    words = keyword.join(todo.select(*same), same, "left_anti").unionByName(fresh.select(keyword.columns))
     return {"vectors": stored, "keyword": words, "ledger": mark(ledger, todo), "todo": todo}

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_clean: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is removed when the program ends, or before that by `discard`."""
+    app = spark.sparkContext.applicationId
+    if app not in _clean:
+        _clean.add(app)
+        atexit.register(discard, spark)
+    return f"{shared_folder(spark)}/clauseworks/{app}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes the tables this application has written; frames that read them can't be used any more."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/clauseworks/{spark.sparkContext.applicationId}")
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  a session that has stopped can't remove anything
+        return
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -33,7 +53,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     it stays columnar, so later readers prune its columns and partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/clauseworks/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(_nullable(df, partition_by)).parquet(path)

@@ -19,11 +19,12 @@ PLACES = 6
 def dedupe(hits: DataFrame, text: str = "text", prefer: tuple[str, ...] = ("score", "relevance_score"), by: str = "query_id") -> DataFrame:
     """The best-scoring row of each text, at the position where the text was first seen; rows without text are dropped.
 
-    Of equal scores the first row stays. The order of the result is `pos`, not score.
+    Of equal scores the first row stays. The order of the result is `pos`, not score. Hits are brought together by query,
+    whose lists are bounded, as reranking, levels and diversity need them too: one exchange serves them all.
     """
     best = F.coalesce(*[F.col(c) for c in prefer if c in hits.columns], F.lit(0.0))
     w = Window.partitionBy(by, text)
-    rows = hits.where(~is_blank(F.col(text))).withColumn("_best", best)
+    rows = hits.where(~is_blank(F.col(text))).withColumn("_best", best).repartition(by)
     rows = rows.withColumn("_first", F.min("pos").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(F.col("_best").desc(), "pos")))
     return rows.where(F.col("_rn") == 1).withColumn("pos", F.col("_first")).drop("_best", "_first", "_rn")
 
@@ -49,7 +50,7 @@ def rerank_fused(hits: DataFrame, top_k: int = 20, rrf_k: int = 60, by: str = "q
 
 
 def rerank_lists(lists: DataFrame, top_k: int = 20, rrf_k: int = 60) -> DataFrame:
-    """Rank fusion over all variants' raw lists (query_id, id, list_no, rank0), later rounds' lists included, by id and not by text."""
+    """Rank fusion over all variants' raw lists (query_id, id, list_no, rank0), later rounds' lists included, by id and not by text; an id's first place in any list breaks ties."""
     return fuse(lists, rrf_k=rrf_k, k=top_k).withColumnRenamed("score", "relevance_score")
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions import text as T
 from clauseworks.functions.hashing import fingerprints
 from clauseworks.operators import chunking, extract, feedback, hierarchy, index, judge, ledger, rerank, retrieval, rounds
+from clauseworks.operators.materialize import written
 from clauseworks.schema import Config
 from clauseworks.sources.tables import table
 
@@ -71,6 +72,23 @@ _TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[A-Za-z0-9
 _BLANK = r"NOT regexp_matches(coalesce({c}, ''), '\S')"
 
 
+def text_key():
+    return F.concat_ws("|", F.coalesce("document_name", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("subsection_id", F.lit("")))
+
+
+def texts(spark: SparkSession, root: str) -> DataFrame:
+    """(id, text): of the provisions that share a hit's id, the whole text of the smallest record."""
+    return provisions(spark, root).groupBy(text_key().alias("id")).agg(F.min_by("subsection_text", "record_id").alias("text"))
+
+
+_TEXTS = "(SELECT coalesce(document_name, '') || '|' || coalesce(section, '') || '|' || coalesce(subsection_id, '') AS id, arg_min_null(subsection_text, record_id) AS text FROM subsections GROUP BY 1)"
+_HITS_TEXT = f"(SELECT h.*, t.text FROM {_HITS} h LEFT JOIN {_TEXTS} t USING (id))"
+
+
+def text_hits(spark: SparkSession, root: str) -> DataFrame:
+    return retrieval.with_texts(hits(spark, root), texts(spark, root))
+
+
 def questions(spark: SparkSession, root: str) -> DataFrame:
     """Every twentieth reference question."""
     return table(spark, root, "reference_answers").where("ref_id % 20 = 0").select(F.col("ref_id").alias("query_id"), F.col("question").alias("query")).dropDuplicates(["query_id"])
@@ -95,8 +113,9 @@ _BM25 = f"""WITH docs AS (SELECT record_id AS id, {_TOKENS.format(c='subsection_
 @query(_BM25 + " SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark, root):
     docs = provisions(spark, root)
-    n, _ = index.corpus_stats(docs, "record_id", "subsection_text")
-    return index.term_stats(index.postings(docs, "record_id", "subsection_text"), n).select("term", "df", F.round("idf", 6).alias("idf"))
+    post = written(index.postings(docs, "record_id", "subsection_text"))
+    n, _ = index.corpus_stats(docs, post, "record_id")
+    return index.term_stats(post, n).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_BM25 + f""", asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format(c='q')}) AS term FROM (SELECT DISTINCT ref_id AS query_id, question AS q FROM reference_answers WHERE ref_id % 20 = 0)) GROUP BY 1, 2),
@@ -140,13 +159,20 @@ def vector_topk_filtered(spark, root):
 
 def _fused(lists: str, k: int) -> str:
     return f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f // 100000, f % 100000, id) AS rank FROM (
-      SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 8) AS score, min(list_no * 100000 + rank0) AS f FROM ({lists}) WHERE id <> '' GROUP BY 1, 2)) WHERE rank <= {k}"""
+      SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 8) AS score, min(list_no * 100000 + rank0) AS f FROM ({lists}) WHERE id::VARCHAR <> '' GROUP BY 1, 2)) WHERE rank <= {k}"""
+
+
+_KEYWORD_HITS = _BM25 + f""", asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format(c='q')}) AS term FROM (SELECT DISTINCT ref_id AS query_id, question AS q FROM reference_answers WHERE ref_id % 20 = 0)) GROUP BY 1, 2),
+ scored AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN terms USING (term), stats GROUP BY 1, 2),
+ kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 30 AND score > 0)"""
 
 
-@query(_fused(f"SELECT query_id, id, variant_no - 1 AS list_no, result_rank - 1 AS rank0 FROM {_HITS} WHERE variant_no <= 2 AND result_rank <= 30", 30))
+@query(_KEYWORD_HITS + f", vec AS ({_ranked(_VEC, 30)}) " + _fused("SELECT query_id, id, 0 AS list_no, rank - 1 AS rank0 FROM vec UNION ALL SELECT query_id, id, 1, rank - 1 FROM kw", 30))
 def hybrid_rrf(spark, root):
-    h = hits(spark, root).withColumnRenamed("result_rank", "rank")
-    return retrieval.hybrid(h.where("variant_no = 1"), h.where("variant_no = 2"), 30).select("query_id", "id", "score", "rank")
+    """The vectors stand for provisions of the same number, their queries for questions of the same number."""
+    keyword = retrieval.keyword_search(questions(spark, root), provisions(spark, root), "record_id", "subsection_text", 30)
+    near = retrieval.vector_search(_asked(spark, root), _vectors(spark, root), 30)
+    return retrieval.hybrid(near, keyword, 30).select("query_id", "id", "score", "rank")
 
 
 @query(_fused(f"SELECT query_id, id, variant_no AS list_no, result_rank - 1 AS rank0 FROM {_HITS}", 20))
@@ -155,9 +181,11 @@ def rrf_multi(spark, root):
     return rerank.rerank_lists(lists, 20).select("query_id", "id", F.col("relevance_score").alias("score"), "rank")
 
 
-@query(f"SELECT query_id, id, score, pos FROM {_BEST}")
+@query(f"""SELECT query_id, id, md5(text) AS text_md5, score, first_pos AS pos FROM (SELECT *, min(pos) OVER (PARTITION BY query_id, text) AS first_pos, row_number() OVER (PARTITION BY query_id, text ORDER BY coalesce(score, 0) DESC, pos) AS rn
+  FROM {_HITS_TEXT} WHERE regexp_matches(text, '\\S')) WHERE rn = 1""")
 def dedupe_keep_best(spark, root):
-    return best_hits(spark, root).select("query_id", "id", "score", "pos")
+    kept = rerank.dedupe(text_hits(spark, root), prefer=("score",))
+    return kept.select("query_id", "id", F.md5("text").alias("text_md5"), "score", "pos")
 
 
 @query(f"SELECT query_id, id, coalesce(score, 0) AS relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, pos) AS rank FROM {_BEST}) WHERE rank <= 20")
@@ -183,26 +211,33 @@ def relevance_filter(spark, root):
     return rerank.relevance_filter(hits(spark, root), 0.3).select("result_id", "relevance_score")
 
 
-@query()
+_MMR = f"""WITH RECURSIVE top AS (SELECT query_id, id, rank AS pos, coalesce(score, 0) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, pos) AS rank FROM {_BEST}) WHERE rank <= 20),
+ cand AS (SELECT query_id, pos, top.id, rel, list_distinct(regexp_extract_all(lower(coalesce(t.text, '')), '[a-z0-9]+')) AS toks FROM top LEFT JOIN {_TEXTS} t ON t.id = top.id),
+ near AS (SELECT a.query_id, a.pos, max(a.id) AS id, max(a.rel) AS rel, map(list(b.pos ORDER BY b.pos), list(CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0 ELSE len(list_intersect(a.toks, b.toks))::DOUBLE / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) END ORDER BY b.pos)) AS j
+   FROM cand a JOIN cand b USING (query_id) GROUP BY 1, 2),
+ pick AS (
+  SELECT query_id, 0 AS step, [arg_max(pos, (round(rel, 9), -pos))] AS picked FROM near GROUP BY query_id
+  UNION ALL
+  SELECT query_id, any_value(step) + 1, list_append(any_value(picked), arg_max(pos, (worth, -pos))) FROM (
+   SELECT p.query_id, p.step, p.picked, n.pos, round(0.7::DOUBLE * n.rel - (1 - 0.7::DOUBLE) * list_max(list_transform(p.picked, lambda x: n.j[x])), 9) AS worth FROM pick p JOIN near n ON n.query_id = p.query_id AND NOT list_contains(p.picked, n.pos) WHERE p.step < 9) GROUP BY query_id)
+ SELECT p.query_id, n.id, p.step::BIGINT AS pick FROM pick p JOIN near n ON n.query_id = p.query_id AND n.pos = p.picked[-1]"""
+
+
+@query(_MMR)
 def mmr_select(spark, root):
-    """No SQL: a greedy choice over many rounds; tested against brute force."""
-    p = provisions(spark, root).select(F.concat_ws("|", F.coalesce("document_name", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("subsection_id", F.lit(""))).alias("id"), F.col("subsection_text").alias("text"))
     top = rerank.rerank_none(best_hits(spark, root)).withColumn("pos", F.col("rank"))
-    return rerank.diversify(retrieval.with_texts(top, p.dropDuplicates(["id"])), 0.7, 10)
+    return rerank.diversify(retrieval.with_texts(top, texts(spark, root)), 0.7, 10)
 
 
-@query(f"""SELECT h.result_id, h.id, s.chars FROM {_HITS} h LEFT JOIN (
-  SELECT coalesce(document_name, '') || '|' || coalesce(section, '') || '|' || coalesce(subsection_id, '') AS id, max(length(subsection_text)) AS chars FROM subsections GROUP BY 1) s USING (id)""")
+@query(f"SELECT result_id, id, md5(text) AS text_md5, length(text) AS chars FROM {_HITS_TEXT}")
 def enrich_left_join(spark, root):
-    key = F.concat_ws("|", F.coalesce("document_name", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("subsection_id", F.lit("")))
-    texts = table(spark, root, "subsections").groupBy(key.alias("id")).agg(F.max(F.length("subsection_text")).cast("long").alias("chars"))
-    return retrieval.with_texts(hits(spark, root), texts).select("result_id", "id", "chars")
+    return text_hits(spark, root).select("result_id", "id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
 
 
-@query(f"SELECT relevance, count(*) AS n FROM (SELECT CASE WHEN base_score >= 0.65 THEN 'high' WHEN base_score <= 0.3 THEN 'low' ELSE 'medium' END AS relevance FROM {_HITS} WHERE base_score IS NOT NULL) GROUP BY 1")
+@query(f"SELECT relevance, count(*) AS n FROM (SELECT CASE WHEN base_score >= 0.65 THEN 'high' WHEN base_score <= 0.3 THEN 'low' ELSE 'medium' END AS relevance FROM {_HITS}) GROUP BY 1")
 def relevance_classes(spark, root):
-    h = hits(spark, root).where("base_score IS NOT NULL")
-    return h.groupBy(hierarchy.relevance_class(F.col("base_score")).alias("relevance")).agg(F.count("*").alias("n"))
+    """A hit without a score is neither high nor low."""
+    return hits(spark, root).groupBy(hierarchy.relevance_class(F.col("base_score")).alias("relevance")).agg(F.count("*").alias("n"))
 
 
 # --- hierarchy -------------------------------------------------------------------------------------------------
@@ -263,35 +298,46 @@ _NEAR = Config(high=0.40, low=0.15, moderate=0.10)
 @query(f"""WITH top AS ({_ranked(_VEC, 30)}),
  med AS (SELECT *, CASE WHEN score >= 0.40 THEN 'high' WHEN score <= 0.15 THEN 'low' ELSE 'medium' END AS relevance FROM top),
  near AS (SELECT m.query_id, m.id, d.side, d.hop, d.side * d.hop + m.id AS near_id, {_COS.replace('a.embedding', 'q.embedding').replace('b.embedding', 'v.embedding')} AS near, v.vec_id IS NOT NULL AS there
-   FROM med m, (VALUES (-1, 1), (-1, 2), (1, 1), (1, 2)) d(side, hop) JOIN embeddings q ON q.vec_id = m.query_id LEFT JOIN embeddings v ON v.vec_id = m.id + d.side * d.hop WHERE m.relevance = 'medium'),
+   FROM med m, (VALUES (-1, 1), (-1, 2), (1, 1), (1, 2)) d(side, hop) JOIN embeddings q ON q.vec_id = m.query_id LEFT JOIN embeddings v ON v.vec_id = m.id + d.side * d.hop AND v.vec_id // 25 = m.id // 25 WHERE m.relevance = 'medium'),
  ok AS (SELECT * FROM near n WHERE there AND near >= 0.10 AND (hop = 1 OR EXISTS (SELECT 1 FROM near p WHERE p.query_id = n.query_id AND p.id = n.id AND p.side = n.side AND p.hop = 1 AND p.there AND p.near >= 0.10)))
  SELECT m.query_id, m.id, m.relevance, array_to_string(list_transform(list_sort(list_append(coalesce(o.ids, []), m.id)), lambda x: 't' || x), chr(10) || chr(10)) AS text
  FROM med m LEFT JOIN (SELECT query_id, id, list(near_id) AS ids FROM ok GROUP BY 1, 2) o USING (query_id, id)""")
 def neighbor_expand(spark, root):
     v = _vectors(spark, root)
-    linked = chunking.assign_neighbors(v.select("id").withColumn("doc", F.lit("all")), "doc", "id", "id")
-    top = retrieval.vector_search(_asked(spark, root), v, 30).withColumnRenamed("score", "base_score").join(linked.select("id", "prev_ids", "next_ids"), "id")
-    texts = v.select("id", F.concat(F.lit("t"), F.col("id")).alias("text"))
-    out = hierarchy.neighbours(top.join(texts, "id"), v, texts, _asked(spark, root).select("query_id", "vector"), _NEAR)
+    linked = chunking.assign_neighbors(v.select("id", F.floor(F.col("id") / 25).cast("string").alias("doc")), "doc", "id", "id")  # documents of 25 chunks
+    top = written(retrieval.vector_search(_asked(spark, root), v, 30).withColumnRenamed("score", "base_score"))
+    said = v.select("id", F.concat(F.lit("t"), F.col("id")).alias("text"))
+    out = hierarchy.neighbours(top.join(linked.select("id", "prev_ids", "next_ids"), "id").join(said, "id"), v, said, _asked(spark, root).select("query_id", "vector"), _NEAR)
     return out.select("query_id", "id", "relevance", "text")
 
 
 # --- rounds and contexts ---------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT query_id, id, score, round FROM (
-  SELECT query_id, id, score, 1 AS round FROM {_HITS} WHERE variant_no = 1 UNION ALL
-  SELECT query_id, id, score, 2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS rn FROM {_HITS} s WHERE variant_no > 1 AND NOT EXISTS (SELECT 1 FROM {_HITS} f WHERE f.variant_no = 1 AND f.query_id = s.query_id AND f.id = s.id)) WHERE rn = 1)""")
+@query(f"""WITH h AS (SELECT * FROM {_HITS_TEXT}) SELECT query_id, id, score, round FROM (
+  SELECT query_id, id, score, 1 AS round FROM h WHERE variant_no = 1 UNION ALL
+  SELECT query_id, id, score, 2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos) AS rn FROM h s WHERE variant_no > 1 AND regexp_matches(text, '\\S') AND NOT EXISTS (SELECT 1 FROM h f WHERE f.variant_no = 1 AND f.query_id = s.query_id AND f.text = s.text)) WHERE rn = 1)""")
 def two_call_merge(spark, root):
-    h = hits(spark, root)
-    return rounds.merge_round(h.where("variant_no = 1"), h.where("variant_no > 1"), text="id").select("query_id", "id", "score", "round")
+    h = text_hits(spark, root)
+    return rounds.merge_round(h.where("variant_no = 1"), h.where("variant_no > 1")).select("query_id", "id", "score", "round")
+
+
+_FIRST_12 = f"(SELECT b.*, coalesce(t.text, '') AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS i FROM {_BEST}) b LEFT JOIN {_TEXTS} t ON t.id = b.id WHERE i <= 12)"
+_RULE = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
 @query(f"""SELECT query_id, count(*) AS n_chunks, md5(string_agg('[Chunk ' || i || '] Document: ' || doc_name || CASE WHEN chapter <> '' THEN ' | Chapter: ' || chapter ELSE '' END || CASE WHEN section <> '' THEN ' | Section: ' || section ELSE '' END
-  || CASE WHEN subsection_id NOT IN ('', 'N/A') THEN ' | Subsection: ' || subsection_id ELSE '' END || chr(10) || substr(id, 1, 600), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS context_md5
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS i FROM {_BEST}) WHERE i <= 12 GROUP BY query_id""")
+  || CASE WHEN subsection_id NOT IN ('', 'N/A') THEN ' | Subsection: ' || subsection_id ELSE '' END || chr(10) || text, {_RULE} ORDER BY i)) AS context_md5 FROM {_FIRST_12} GROUP BY query_id""")
 def context_window(spark, root):
-    w = rounds.context_window(best_hits(spark, root).withColumn("text", F.col("id")))
+    """Contexts of answers: whole texts under full headers."""
+    w = rounds.context_window(retrieval.with_texts(best_hits(spark, root), texts(spark, root)), longest=None)
+    return w.select("query_id", "n_chunks", F.md5("context").alias("context_md5"))
+
+
+@query(f"SELECT query_id, count(*) AS n_chunks, md5(string_agg('[' || i || '] ' || doc_name || ' | ' || section || ' | ' || subsection_id || chr(10) || substr(text, 1, 600), {_RULE} ORDER BY i)) AS context_md5 FROM {_FIRST_12} GROUP BY query_id")
+def gap_context(spark, root):
+    """Contexts of gap analysis: texts cut to 600 characters under short headers."""
+    w = rounds.context_window(retrieval.with_texts(best_hits(spark, root), texts(spark, root)), gaps=True)
     return w.select("query_id", "n_chunks", F.md5("context").alias("context_md5"))
 
 
@@ -306,30 +352,36 @@ def trace_overview(spark, root):
 
 
 def page_items(spark, root):
-    p = provisions(spark, root).where("document_name IS NOT NULL")
+    """Every record as an item of its page; those of re-issued documents, which share name and place, follow one another by record."""
+    p = provisions(spark, root).withColumn("doc", F.coalesce("document_name", F.lit("")))
     kind = F.element_at(F.array(*map(F.lit, ("chapter_header", "section_header", "new_subsection", "continuation", "new_subsection", "continuation"))), (F.pmod("seq", F.lit(6)) + 1).cast("int"))
-    # records of a re-issued document share its name and places; the smaller id counts
-    p = index.keep_first(p, ["document_name", "seq"], ["record_id"])
+    item = F.row_number().over(Window.partitionBy("doc", "seq").orderBy("record_id"))
     content = F.when(F.pmod("seq", F.lit(6)) == 0, F.col("chapter")).when(F.pmod("seq", F.lit(6)) == 1, F.col("section")).otherwise(F.col("subsection_text"))
-    return p.select(F.col("document_name").alias("doc"), F.col("seq").alias("page"), F.lit(0).alias("item"), kind.alias("type"), content.alias("content"), F.element_at(F.split("subsection_id", r"\."), 1).alias("id"))
+    return p.select("doc", F.col("seq").alias("page"), item.alias("item"), kind.alias("type"), content.alias("content"), F.element_at(F.split("subsection_id", r"\."), 1).alias("id"))
+
+
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-_STRIP = r"regexp_replace({c}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')"
-_FOLD = f"""WITH items AS (SELECT document_name AS doc, seq AS page, (seq % 6 + 6) % 6 AS m, coalesce(CASE (seq % 6 + 6) % 6 WHEN 0 THEN chapter WHEN 1 THEN section ELSE subsection_text END, '') AS content, split_part(subsection_id, '.', 1) AS id
-   FROM (SELECT *, row_number() OVER (PARTITION BY document_name, seq ORDER BY record_id) AS rn FROM {_PROVISIONS} WHERE document_name IS NOT NULL) WHERE rn = 1),
+def _stripped(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
+
+
+_FOLD = f"""WITH items AS (SELECT coalesce(document_name, '') AS doc, seq AS page, seq::BIGINT * 1000000 + row_number() OVER (PARTITION BY coalesce(document_name, ''), seq ORDER BY record_id) AS ord, (seq % 6 + 6) % 6 AS m,
+   coalesce(CASE (seq % 6 + 6) % 6 WHEN 0 THEN chapter WHEN 1 THEN section ELSE subsection_text END, '') AS content, split_part(subsection_id, '.', 1) AS id FROM {_PROVISIONS}),
  run AS (SELECT *, coalesce(last_value(CASE WHEN m = 0 THEN content END IGNORE NULLS) OVER w, 'Preamble') AS ch, coalesce(last_value(CASE WHEN m = 0 THEN 'General' WHEN m = 1 THEN content END IGNORE NULLS) OVER w, 'General') AS se,
-   sum(CASE WHEN m IN (3, 5) THEN 0 ELSE 1 END) OVER w AS g FROM items WINDOW w AS (PARTITION BY doc ORDER BY page ROWS UNBOUNDED PRECEDING)),
- grp AS (SELECT doc, g, min(page) AS f, arg_min(ch, page) AS chapter, arg_min(se, page) AS section, arg_min(CASE WHEN m IN (3, 5) THEN 'Introduction/Continuation' WHEN m IN (2, 4) THEN coalesce(nullif(id, ''), 'N/A') ELSE 'N/A' END, page) AS sid,
-   string_agg(CASE WHEN m IN (0, 1) THEN '' ELSE content END, ' ' ORDER BY page) AS txt, list_sort(list_distinct(list(page))) AS pages FROM run GROUP BY doc, g),
- isl AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY f) AS isl FROM (SELECT *, CASE WHEN sid NOT IN ('', 'N/A') AND lag(sid) OVER (PARTITION BY doc ORDER BY f) = sid THEN 0 ELSE 1 END AS new FROM grp WHERE regexp_matches(txt, '\\S')))
- SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY min(f)) - 1 AS seq, arg_min(chapter, f) AS chapter, arg_min(section, f) AS section, any_value(sid) AS subsection_id, length(string_agg(regexp_replace(regexp_replace(txt, '^\\s+', ''), '\\s+$', ''), ' ' ORDER BY f))::BIGINT AS chars, len(list_distinct(flatten(list(pages))))::BIGINT AS n_pages
+   sum(CASE WHEN m IN (3, 5) THEN 0 ELSE 1 END) OVER w AS g FROM items WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+ grp AS (SELECT doc, g, min(ord) AS f, arg_min(ch, ord) AS chapter, arg_min(se, ord) AS section, arg_min(CASE WHEN m IN (3, 5) THEN 'Introduction/Continuation' WHEN m IN (2, 4) THEN coalesce(nullif(id, ''), 'N/A') ELSE 'N/A' END, ord) AS sid,
+   string_agg(CASE WHEN m IN (0, 1) THEN '' ELSE content END, ' ' ORDER BY ord) AS txt, list_sort(list_distinct(list(page))) AS pages FROM run GROUP BY doc, g),
+ isl AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY f) AS isl FROM (SELECT *, CASE WHEN sid NOT IN ('', 'N/A') AND lag(sid) OVER (PARTITION BY doc ORDER BY f) = sid THEN 0 ELSE 1 END AS new FROM grp WHERE {_stripped('txt')} <> ''))
+ SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY min(f)) - 1 AS seq, arg_min(chapter, f) AS chapter, arg_min(section, f) AS section, any_value(sid) AS subsection_id, md5({_stripped("string_agg(" + _stripped('txt') + ", ' ' ORDER BY f)")}) AS text_md5, array_to_string(list_sort(list_distinct(flatten(list(pages)))), ',') AS pages
  FROM isl GROUP BY doc, isl"""
 
 
 @query(_FOLD)
 def extract_fold(spark, root):
     out = extract.fold_items(page_items(spark, root))
-    return out.select("doc", "seq", "chapter", "section", "subsection_id", F.length("subsection_text").alias("chars"), F.size("page_numbers").alias("n_pages"))
+    return out.select("doc", "seq", "chapter", "section", "subsection_id", F.md5("subsection_text").alias("text_md5"), F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query("""SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY f) - 1 AS seq, subsection_id, n FROM (
@@ -351,10 +403,10 @@ def assign_neighbors(spark, root):
     return out.select("record_id", "seq", joined("prev_ids"), joined("next_ids"))
 
 
-@query(f"""SELECT document_name AS doc_name, seq, md5('Document: ' || coalesce(document_summary, '') || chr(10) || 'Chapter: ' || coalesce(chapter, '') || chr(10) || 'Section: ' || coalesce(section, '') || chr(10) || subsection_text) AS text_md5,
-  coalesce(array_to_string(page_numbers, ', '), '') AS page_numbers FROM {_PROVISIONS} WHERE document_name IS NOT NULL AND regexp_matches(subsection_text, '\\S') AND length(subsection_text) <= 2048""")
+@query(f"""SELECT coalesce(document_name, 'Unknown Document') AS doc_name, seq, md5('Document: ' || coalesce(document_summary, '') || chr(10) || 'Chapter: ' || coalesce(chapter, '') || chr(10) || 'Section: ' || coalesce(section, '') || chr(10) || subsection_text) AS text_md5,
+  coalesce(array_to_string(page_numbers, ', '), '') AS page_numbers FROM {_PROVISIONS} WHERE regexp_matches(subsection_text, '\\S') AND length(subsection_text) <= 2048""")
 def chunk_embed_text(spark, root):
-    c = chunking.chunk(provisions(spark, root).where("document_name IS NOT NULL AND length(subsection_text) <= 2048"))
+    c = chunking.chunk(provisions(spark, root)).where(~F.col("is_split"))
     return c.select("doc_name", "seq", F.md5("text").alias("text_md5"), "page_numbers")
 
 
@@ -365,25 +417,31 @@ def chunk_split(spark, root):
     return c.select("id", "doc_name", "seq", "chunk_index", "total_chunks", F.length("subsection_text").alias("chars"))
 
 
-@query(f"SELECT document_name, array_to_string(list_sort(list_distinct(flatten(list(page_numbers)))), ',') AS pages, count(*) AS records FROM {_PROVISIONS} WHERE len(page_numbers) > 0 GROUP BY 1")
+@query(f"SELECT document_name, array_to_string(list_sort(list_distinct(flatten(list(coalesce(page_numbers, []))))), ',') AS pages, count(*) AS records FROM {_PROVISIONS} GROUP BY 1")
 def page_union(spark, root):
-    p = provisions(spark, root).where(F.size("page_numbers") > 0)
-    pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list("page_numbers"))))
-    return p.groupBy("document_name").agg(F.array_join(F.transform(pages, lambda x: x.cast("string")), ",").alias("pages"), F.count("*").alias("records"))
+    pages = extract.page_union(F.coalesce("page_numbers", F.array().cast("array<int>")))
+    return provisions(spark, root).groupBy("document_name").agg(F.array_join(F.transform(pages, lambda x: x.cast("string")), ",").alias("pages"), F.count("*").alias("records"))
 
 
-# --- ledger and sync -------------------------------------------------------------------------------------------
+_PRINT = "sha256(string_agg(sha256(to_json({'document_summary': document_summary, 'section': section, 'subsection_id': subsection_id, 'subsection_text': subsection_text})), chr(10) ORDER BY record_id))"
 
 
-@query(f"""WITH cur AS (SELECT document_name AS document, count(*)::BIGINT AS n, sha256(string_agg(sha256('{{"subsection_id":' || CASE WHEN subsection_id IS NULL THEN 'null' ELSE '"' || subsection_id || '"' END || '}}'), chr(10) ORDER BY record_id)) AS fp FROM {_PROVISIONS} WHERE document_name IS NOT NULL GROUP BY 1)
+@query(f"""WITH cur AS (SELECT coalesce(document_name, '') AS document, count(*)::BIGINT AS n, {_PRINT} AS fp FROM {_PROVISIONS} GROUP BY 1)
  SELECT document, n AS chunk_count, fp AS chunk_fingerprint, CASE length(document) % 3 WHEN 0 THEN 'skip' WHEN 1 THEN 'replace' ELSE 'new' END AS state FROM cur""")
 def ingest_ledger_skip(spark, root):
-    p = provisions(spark, root).where("document_name IS NOT NULL").withColumnRenamed("document_name", "document")
-    cur = fingerprints(p, "document", "record_id", "subsection_id").select(F.lit("i").alias("index_name"), F.lit("n").alias("namespace"), "document", "chunk_fingerprint", "chunk_count", F.lit("e").alias("embedder"), F.lit("m").alias("model"), F.lit(64).alias("dimension"))
-    known = cur.where(F.length("document") % 3 < 2).withColumn("chunk_count", F.col("chunk_count") + F.length("document") % 3)
+    """Fingerprints of all texts; of the ledger's documents some are as they were, some had another text, some are new."""
+    cur = written(ledger_rows(spark, root))
+    old = F.when(F.length("document") % 3 == 1, F.sha2(F.concat("chunk_fingerprint", F.lit("another text")), 256)).otherwise(F.col("chunk_fingerprint"))
+    known = cur.where(F.length("document") % 3 < 2).withColumn("chunk_fingerprint", old)
     return ledger.pending(cur, known).select("document", "chunk_count", "chunk_fingerprint", "state")
 
 
+def ledger_rows(spark, root):
+    p = provisions(spark, root).withColumn("document", F.coalesce("document_name", F.lit("")))
+    marks = fingerprints(p, "document", "record_id", "document_summary", "section", "subsection_id", "subsection_text")
+    return marks.select(F.lit("i").alias("index_name"), F.lit("n").alias("namespace"), "document", "chunk_fingerprint", "chunk_count", F.lit("e").alias("embedder"), F.lit("m").alias("model"), F.lit(64).alias("dimension"))
+
+
 @query("SELECT doc_id::VARCHAR AS source_file, CASE doc_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'changed' WHEN 2 THEN 'new' ELSE 'missing' END AS state FROM documents")
 def sync_classify(spark, root):
     d = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 4).alias("k"))
@@ -499,16 +557,20 @@ def experiment_grid(spark, root):
     return judge.grid(spark, *_AXES)
 
 
-@query(r"""SELECT c.id, r.answer AS reference FROM (SELECT DISTINCT id, question FROM chat_responses) c LEFT JOIN (SELECT q, arg_max(answer, ref_id) FILTER (WHERE true) AS answer FROM (SELECT DISTINCT ref_id, answer, trim(question) AS q FROM reference_answers WHERE answer IS NOT NULL) GROUP BY q) r ON r.q = trim(c.question)""")
+@query(r"""SELECT c.id, r.answer AS reference FROM (SELECT DISTINCT id, question FROM chat_responses) c LEFT JOIN (SELECT q, arg_max_null(answer, ref_id) AS answer FROM (SELECT DISTINCT ref_id, answer, trim(question) AS q FROM reference_answers) GROUP BY q) r ON r.q = trim(c.question)""")
 def reference_join(spark, root):
     q = table(spark, root, "chat_responses").select("id", F.col("question").alias("query")).distinct()
-    refs = table(spark, root, "reference_answers").where("answer IS NOT NULL").select("question", "answer", F.col("ref_id").alias("pos"))
+    refs = table(spark, root, "reference_answers").select("question", "answer", F.col("ref_id").alias("pos"))
     return judge.with_references(q, refs).select("id", "reference")
 
 
 def queries() -> dict[str, Query]:
+    from clauseworks.plans import system_queries  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from clauseworks.plans import system_queries  # noqa: F401
+
     return dict(SQL)

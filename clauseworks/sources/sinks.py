@@ -5,10 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,23 +14,66 @@ from pyspark.sql import functions as F
 from clauseworks.operators.index import remove, replace_by_source, upsert
 
 
+class Store:
+    """Small files on whatever file system a path names: local, HDFS or an object store."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self._conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        fs, p = self._at(path)
+        stream = fs.create(p, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+    def names(self, folder: str) -> list[str]:
+        fs, p = self._at(folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 class VersionedTable:
-    """A Parquet table whose versions are written beside each other; a small pointer file, replaced atomically, names the current one.
+    """A Parquet table whose versions are written beside each other, on any file system. A small file named by the version's number commits it.
 
-    A run that fails leaves the pointer where it was. Writers read the current version and write the next.
+    The highest number counts. A run that fails leaves no such file, so readers stay with the version before; no file is
+    ever replaced, so the commit needs no atomic renaming. Writers read the current version and write the next.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, Path(path), schema
+        self.spark, self.path, self.schema, self.store = spark, str(path).rstrip("/"), schema, Store(spark)
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self.store.names(f"{self.path}/commits") if n[:1] == "c" and n[1:].isdigit())
 
     @property
     def exists(self) -> bool:
-        return (self.path / "CURRENT").exists()
+        return bool(self._numbers())
 
     def read(self) -> DataFrame:
         if not self.exists:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(str(self.path / (self.path / "CURRENT").read_text()))
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.store.read(f'{self.path}/commits/c{self._numbers()[-1]:08d}')}")
 
     def create(self) -> bool:
         """Whether the table was created now."""
@@ -43,14 +83,21 @@ class VersionedTable:
         return True
 
     def write(self, rows: DataFrame, *partition_by: str) -> None:
-        self.path.mkdir(parents=True, exist_ok=True)
-        name = f"v{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partition_by).parquet(str(self.path / name))
-        with tempfile.NamedTemporaryFile("w", dir=self.path, delete=False) as f:
-            f.write(name)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f.name, self.path / "CURRENT")
+        name, last = f"v{uuid.uuid4().hex}", max(self._numbers(), default=0)
+        rows.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
+        self.store.write(f"{self.path}/commits/c{last + 1:08d}", name)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all versions but the last `keep`, and those never committed; how many were removed."""
+        held = self._numbers()
+        names = {self.store.read(f"{self.path}/commits/c{n:08d}"): n for n in held}
+        stay = {v for v, n in names.items() if n in held[-keep:]}
+        gone = [v for v in self.store.names(self.path) if v[:1] == "v" and v not in stay]
+        for n in held[:-keep]:
+            self.store.delete(f"{self.path}/commits/c{n:08d}")
+        for v in gone:
+            self.store.delete(f"{self.path}/{v}")
+        return len(gone)
 
     def upsert(self, rows: DataFrame, keys: list[str], *latest: str) -> None:
         self.write(upsert(self.read(), rows, keys, *latest))
@@ -69,7 +116,7 @@ def write_json(rows: DataFrame, path: str, *partition_by: str) -> None:
 def write_trace(run: dict, traces: DataFrame, path: str) -> None:
     """A run's header beside its queries' nested traces, one JSON document a query."""
     traces.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/queries")
-    Path(path, "run.json").write_text(json.dumps(run, indent=2, ensure_ascii=False))
+    Store(traces.sparkSession).write(f"{path.rstrip('/')}/run.json", json.dumps(run, indent=2, ensure_ascii=False))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -144,6 +144,7 @@ def test_versioned_table_and_artifacts(spark, tmp_path):
     assert [tuple(r) for r in t.read().collect()] == [("c", "f", 3)]
     t.delete(spark.createDataFrame([("c",)], "id string"))
     assert t.read().count() == 0
+    assert t.vacuum(1) == 3 and t.read().count() == 0 and t.vacuum(1) == 0
     packed = sinks.packed_artifact(spark.createDataFrame([("c", "n", bytearray(b"data"))], "chunker string, artifact_name string, content binary"))
     assert gzip.decompress(packed.first().payload) == b"data"
     assert bytes(files.restored_artifacts(packed).first().content) == b"data"
@@ -265,9 +266,9 @@ def test_pipeline_end_to_end(spark):
         q = v.select(F.concat_ws(":", "query_id", "variant_no").alias("query_id"), F.col("variant_query").alias("query"))
         h = retrieval.keyword_search(q, docs, "id", "text", 10).join(docs, "id")
         part = F.split("query_id", ":")
-        return h.withColumn("pos", F.get(part, F.lit(1)).cast("int") * 1000 + F.col("rank")).withColumn("query_id", F.get(part, F.lit(0)).cast("int")).drop("rank")
+        return h.withColumn("pos", F.get(part, F.lit(1)).cast("int") * 1000 + F.col("rank")).withColumn("query_id", F.get(part, F.lit(0)).cast("int"))
 
-    p = pipeline.Pipeline(strategy=lambda q: retrieval.variants(q, registry.diversify(q)), retrieve=retrieve, rerank=lambda h, raw: rerank.rerank_none(h).withColumn("pos", F.col("rank")), generate=lambda c: c.select("query_id", F.col("context").alias("answer")))
+    p = pipeline.Pipeline(strategy=lambda q: retrieval.variants(q, registry.diversify(q)), retrieve=retrieve, rerank=lambda h, queries, raw: rerank.rerank_none(h).withColumn("pos", F.col("rank")), generate=lambda c: c.select("query_id", F.col("context").alias("answer")))
     out = p.run(spark.createDataFrame([(1, "annual licence fee"), (2, "zebra")], "query_id int, query string"))
     answers = {r.query_id: r.answer for r in out["answers"].collect()}
     assert answers[2] == pipeline.NO_ANSWER and "annual licence fee of the tower" in answers[1]

@@ -60,3 +60,54 @@ def test_saved_index_gives_the_same_scores(spark, chunks, tmp_path):
     post, terms, n, average = index.load(spark, str(tmp_path / "ix"))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert n == 4 and rows(retrieval.keyword_scores(q, post, terms, average)) == rows(retrieval.keyword_search(q, chunks, "id", "text"))
+
+
+@pytest.mark.parametrize("retriever", ["bm25", "vector", "hybrid", "hierarchical"])
+@pytest.mark.parametrize("reranker", ["rrf", "llm"])
+def test_named_parts_fit_the_pipeline(spark, retriever, reranker):
+    from clauseworks.plans import runner
+
+    texts = ["annual licence fee of the tower", "annual report deadline", "spectrum lease term", "licence fee waiver for schools", "a tower is shared by two carriers"]
+    subs = spark.createDataFrame([("D", None, "C", f"S{i % 2}", str(i), t, [i], i) for i, t in enumerate(texts)], "document_name string, document_summary string, chapter string, section string, subsection_id string, subsection_text string, page_numbers array<int>, seq int")
+    chunks = runner.indexed(subs)
+    queries = spark.createDataFrame([(1, "annual licence fee and spectrum lease"), (2, "zebra")], "query_id int, query string")
+
+    def analyse(contexts):
+        return contexts.select("query_id", (F.col("query_id") != 1).alias("sufficient"), F.array(F.lit("tower shared by carriers")).alias("followup_queries"))
+
+    out = runner.retrieve(queries, chunks, retriever=retriever, reranker=reranker, strategy="decompose", config=Config(top_k=3, rerank_top_k=4, two_call=True, relevance_threshold=0.0), analyse=analyse, generate=lambda c: c.select("query_id", F.col("context").alias("answer")))
+    told = {r.query_id: r for r in out["counts"].collect()}
+    assert told[1].variants == 3 and told[1].followups == 1 and told[1].final == min(4, told[1].merged) and told[1].raw >= told[1].merged > 1
+    assert {r.id for r in out["final"].where("query_id = 1").collect()} <= {r.id for r in chunks.collect()}
+    assert out["final"].where("query_id = 1").agg(F.max("rank")).first()[0] <= 4
+
+
+def test_a_failed_ingestion_is_made_again(spark, tmp_path):
+    from clauseworks.plans import runner
+    from clauseworks.sources.sinks import VersionedTable
+
+    key = "index_name string, namespace string, document string"
+    made = lambda name, cols: VersionedTable(spark, str(tmp_path / name), cols)
+    tables = {"vectors": made("v", f"{key}, id bigint, vector array<float>"), "keyword": made("k", f"{key}, id bigint, text string"), "ledger": made("l", f"{key}, chunk_fingerprint string, chunk_count int, embedder string, model string, dimension int, indexed_at timestamp")}
+    current = lambda ns, *docs: spark.createDataFrame([("i", ns, d, f"fp{d}", 2, "e", "m", 4) for d in docs], f"{key}, chunk_fingerprint string, chunk_count int, embedder string, model string, dimension int")
+    chunks = spark.createDataFrame([(d, n, f"text {d}{n}") for d in "ab" for n in (1, 2)], "document string, id bigint, text string")
+    asked = []
+
+    def embed(rows):
+        asked.append(rows.count())
+        return rows.withColumn("vector", F.array(F.lit(1.0).cast("float")))
+
+    def broken(rows):
+        return rows.withColumn("vector", F.array(F.raise_error(F.lit("no quota")).cast("float")))
+
+    with pytest.raises(Exception, match="no quota"):
+        runner.ingest(current("n", "a"), chunks, tables, broken)
+    assert not tables["ledger"].exists and not tables["keyword"].exists
+    assert [r.state for r in runner.ingest(current("n", "a"), chunks, tables, embed).collect()] == ["new"]
+    assert {(r.document, r.state) for r in runner.ingest(current("n", "a", "b"), chunks, tables, embed).collect()} == {("a", "skip"), ("b", "new")}
+    runner.ingest(current("other", "a"), chunks, tables, embed)  # another namespace leaves the first one's rows
+    assert asked == [2, 2, 2]
+    for t in ("vectors", "keyword"):
+        assert sorted(tuple(r) for r in tables[t].read().groupBy("namespace", "document").count().collect()) == [("n", "a", 2), ("n", "b", 2), ("other", "a", 2)]
+    assert {(r.document, r.state) for r in runner.ingest(current("n", "a"), chunks, tables, embed, new_index=True).collect()} == {("a", "new")}
+    assert tables["ledger"].read().count() == 1

@@ -188,11 +188,26 @@ def test_second_round_adds_unseen_texts_only(spark):
 
 
 def test_corrective_rounds_end_when_sufficient(spark):
-    first = spark.createDataFrame([(1, "a", "D", "C", "S", "1", 0.5, 0, "x"), (2, "b", "D", "C", "S", "1", 0.5, 0, "y")], "query_id int, id string, doc_name string, chapter string, section string, subsection_id string, score double, pos int, text string")
-    analyse = lambda ctx: ctx.select("query_id", F.when(F.col("query_id") == 1, False).alias("sufficient"), F.when(F.col("query_id") == 1, F.array(F.lit("more"))).alias("followup_queries"))
-    retrieve = lambda v: v.select("query_id", F.lit("n").alias("id"), F.lit("D").alias("doc_name"), F.lit("C").alias("chapter"), F.lit("S").alias("section"), F.lit("2").alias("subsection_id"), F.lit(0.4).alias("score"), F.lit(0).alias("pos"), F.lit("new").alias("text"))
-    out, gaps = rounds.corrective_rounds(first, analyse, retrieve, 2)
-    assert sorted((r.query_id, r.id) for r in out.collect()) == [(1, "a"), (1, "n"), (2, "b")] and gaps.count() == 2
+    first = spark.createDataFrame([(1, "a", "D", "C", "S", "1", 0.5, 0, "x", 0, 1), (2, "b", "D", "C", "S", "1", 0.5, 0, "y", 0, 1)], "query_id int, id string, doc_name string, chapter string, section string, subsection_id string, score double, pos int, text string, variant_no int, rank int")
+    contexts, asked = [], []
+
+    def analyse(ctx):
+        contexts.extend(r.context for r in ctx.orderBy("query_id").collect())
+        return ctx.select("query_id", F.when(F.col("query_id") == 1, False).alias("sufficient"), F.when(F.col("query_id") == 1, F.array(F.lit("more"))).alias("followup_queries"))
+
+    def strategy(q):  # two variants of every follow-up
+        return q.select("query_id", F.posexplode(F.array("query", F.concat(F.lit("explain "), "query"))).alias("variant_no", "variant_query"))
+
+    def retrieve(v):
+        asked.extend((r.query_id, r.variant_no, r.variant_query) for r in v.orderBy("variant_no").collect())
+        text = F.concat(F.lit("new "), F.col("variant_no").cast("string"))
+        return v.select("query_id", text.alias("id"), F.lit("D").alias("doc_name"), F.lit("C").alias("chapter"), F.lit("S").alias("section"), F.lit("2").alias("subsection_id"), F.lit(0.4).alias("score"), F.col("variant_no").alias("pos"), text.alias("text"), "variant_no", F.lit(1).alias("rank"))
+
+    out, raw, gaps = rounds.corrective_rounds(first, first, analyse, strategy, retrieve, 2)
+    assert contexts[0] == "[1] D | S | 1\nx"
+    assert asked == [(1, 1, "more"), (1, 2, "explain more"), (1, 3, "more"), (1, 4, "explain more")]
+    assert sorted((r.query_id, r.id, r["round"]) for r in out.collect()) == [(1, "a", 1), (1, "new 1", 2), (1, "new 2", 2), (1, "new 3", 3), (1, "new 4", 3), (2, "b", 1)] and gaps.count() == 2
+    assert sorted(r.variant_no for r in raw.where("query_id = 1").collect()) == [0, 1, 2, 3, 4]
     settled = rounds.settle_gaps(spark.createDataFrame([(1, False, []), (2, None, None), (3, False, ["q"])], "query_id int, sufficient boolean, followup_queries array<string>"))
     assert [r.sufficient for r in settled.orderBy("query_id").collect()] == [True, True, False]
 
@@ -200,3 +215,38 @@ def test_corrective_rounds_end_when_sufficient(spark):
 def test_context_window(spark):
     hits = spark.createDataFrame([(1, 0, "D", "C", "", "N/A", "long text"), (1, 1, None, "", "S", "1.2", "b")], "query_id int, pos int, doc_name string, chapter string, section string, subsection_id string, text string")
     assert rounds.context_window(hits, 12, 4).first().context == "[Chunk 1] Document: D | Chapter: C\nlong\n\n---\n\n[Chunk 2] Document: Unknown | Section: S | Subsection: 1.2\nb"
+
+
+def test_vector_search_agrees_with_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from clauseworks.functions import vectors as V
+
+    monkeypatch.setattr(V, "QUERIES_AT_ONCE", 3)
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    v[10] = 0
+    rows = [(f"i{i:03d}", [float(x) for x in r], "ab"[i % 2] if i % 7 else None) for i, r in enumerate(v)] + [("null", None, "a"), ("short", [1.0], "a"), (None, [1.0] * 4, "a")]
+    df = spark.createDataFrame(rows, "id string, vector array<double>, label string").repartition(5)
+    q = df.where("id < 'i010'").withColumnRenamed("id", "query_id")
+    held = {i: (np.array(x if x and len(x) == 4 else [0.0] * 4), s) for i, x, s in rows if i}
+
+    def best(i, same):
+        a, s = held[i]
+        scored = sorted((-round(float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)), 6) if np.linalg.norm(a) * np.linalg.norm(b) > 0 else 0.0, j) for j, (b, t) in held.items() if not same or (s is not None and s == t))
+        return [(j, -c) for c, j in scored[:7]]
+
+    for same in (None, "label"):
+        for size in (64 << 20, 4 * 8 * 4):  # in one block and in several
+            got = {}
+            for r in V.exact_top_k(q, df, 7, same, size).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((r.id, r.score))
+            for i in [f"i{n:03d}" for n in range(10)]:
+                want = best(i, same)
+                assert [j for j, _ in got.get(i, [])] == [j for j, _ in want] and all(abs(x - y) < 2e-6 for (_, x), (_, y) in zip(got.get(i, []), want)), (i, same, size)
+
+
+def test_levels_use_one_exchange(spark):
+    hits = spark.createDataFrame(FIVE, HITS)
+    plan = hierarchy.apply_levels(hits, top_k=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Scan") == 1
