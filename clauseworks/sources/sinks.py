@@ -120,7 +120,8 @@ def write_trace(run: dict, traces: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """With a header, quotes doubled, and blanks at the ends of cells kept."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def packed_artifact(rows: DataFrame, content: str = "content") -> DataFrame:
