@@ -149,7 +149,10 @@ def is_other_language() -> Column:
     alone = (english == 0) & (F.size(F.filter("latin", lambda w: F.length(w) > 1)) >= 4)
     romanised = ((bangla >= 2) & (bangla > english)) | ((bangla == 1) & alone)
     foreign_latin = ((latin >= 2) & (latin > 2 * english)) | ((latin == 1) & alone)
-    return F.when(q_bn, ((la > bn) & ~romanised) | (other > bn + la)).when(q_la, (bn > la) | (other > bn + la) | ((bn <= la) & (romanised | foreign_latin))).otherwise(False)
+    full = F.when(q_bn, ((la > bn) & ~romanised) | (other > bn + la)).when(q_la, (bn > la) | (other > bn + la) | ((bn <= la) & (romanised | foreign_latin))).otherwise(False)
+    # texts of ASCII only, told by their bytes, have no other script to count
+    plain = lambda c: F.octet_length(c) == F.length(c)
+    return F.when(plain("question") & plain("own"), F.col("question").rlike("[A-Za-z]") & (romanised | foreign_latin)).otherwise(full)
 
 
 def _tokens(body: Column) -> Column:
