@@ -119,6 +119,15 @@ def judged(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows
 
 
+def keyword_gaps(contexts: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
+    """Gap analyses without a model: a context is sufficient that has at least `least` of the query's keywords; else the missing ones are asked for."""
+    rows = contexts.join(queries.select("query_id", F.array_distinct(keyword_tokens(F.col("query"))).alias("_q")), "query_id")
+    missing = F.array_except("_q", keyword_tokens(F.col("context")))
+    share = 1 - F.size(missing) / F.greatest(F.lit(1), F.size("_q"))
+    words = F.array_join(missing, " ")
+    return rows.select("query_id", F.format_string("%d of %d keywords missing", F.size(missing), F.size("_q")).alias("reasoning"), (share >= least).alias("sufficient"), words.alias("missing_info"), F.when(share < least, F.array(words)).otherwise(F.array().cast("array<string>")).alias("followup_queries"))
+
+
 def offline_gaps(contexts: DataFrame) -> DataFrame:
     """Gap analyses without a model: sufficient whatever the context."""
     return contexts.select("query_id", F.lit("no model").alias("reasoning"), F.lit(True).alias("sufficient"), F.lit("").alias("missing_info"), F.array().cast("array<string>").alias("followup_queries"))

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import strip
-from clauseworks.operators.index import keep_first
+from clauseworks.operators.index import keep_first, merge_new
 
 CRITERIA = ("retrieval_relevance", "completeness", "correctness")
 
 
+def append_responses(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored responses and the new ones, each id once: an id that is stored already stays as it is, so a repeated request adds nothing."""
+    return merge_new(stored, new.where(F.col("id").isNotNull()))
+
+
 def latest_ratings(ratings: DataFrame) -> DataFrame:
     """The last rating of each (response, rater), the comment stripped; grades out of 1..5 are null."""
     rows = keep_first(ratings, ["response_id", "rater_id"], [F.col("updated_at").desc_nulls_last(), F.col("id").desc()])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseworks.functions.text import is_blank, token_set
+from clauseworks.functions.text import is_blank, score_lines, token_set
 from clauseworks.operators.retrieval import fuse
 from clauseworks.schema import Config
 
@@ -63,6 +63,21 @@ def rerank_scored(hits: DataFrame, scores: DataFrame, head: int = 30, top_k: int
     return out.withColumn("relevance_score", F.col("_s") / 10).drop("_s", "model_score")
 
 
+def listwise_batches(hits: DataFrame, head: int = 30, size: int = 5, longest: int = 1500, by: str = "query_id") -> DataFrame:
+    """(by, batch, ids, passages): the first `head` hits of each query in batches of `size`, numbered from 1 and cut to `longest` characters, as a model is shown them in one call."""
+    first = hits.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy("pos")) - 1).where(F.col("_i") < head)
+    first = first.select(by, F.floor(F.col("_i") / size).cast("int").alias("batch"), (F.col("_i") % size + 1).alias("n"), "id", F.substring(F.coalesce("text", F.lit("")), 1, longest).alias("t"))
+    rows = first.groupBy(by, "batch").agg(F.array_sort(F.collect_list(F.struct("n", "id", "t"))).alias("_b"))  # `size` each
+    said = F.array_join(F.transform("_b", lambda x: F.concat(F.format_string("[%d] ", x["n"]), x["t"])), "\n\n")
+    return rows.select(by, "batch", F.transform("_b", lambda x: x["id"]).alias("ids"), said.alias("passages"))
+
+
+def listwise_scores(replies: DataFrame, size: int = 5, default: float = 5.0, by: str = "query_id") -> DataFrame:
+    """(by, id, model_score) of batches with a model's `reply` of a line per passage; a failed call, a null reply, gives the default to all of its batch."""
+    scored = replies.select(by, F.arrays_zip("ids", F.slice(score_lines(F.col("reply"), size, default), F.lit(1), F.size("ids")).alias("scores")).alias("_z"))
+    return scored.select(by, F.explode("_z").alias("_z")).select(by, F.col("_z.ids").alias("id"), F.col("_z.scores").alias("model_score"))
+
+
 def relevance_filter(hits: DataFrame, threshold: float = 0.01) -> DataFrame:
     """relevance_score of at least the threshold, a missing one being 0; a threshold of 0 or less keeps all."""
     return hits if threshold <= 0 else hits.where(F.coalesce("relevance_score", F.lit(0.0)) >= threshold)

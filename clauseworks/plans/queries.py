@@ -125,6 +125,17 @@ def bm25_topk(spark, root):
     return retrieval.keyword_search(questions(spark, root), provisions(spark, root), "record_id", "subsection_text", 30)
 
 
+_KEYWORD_HITS = _BM25 + f""", asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format(c='q')}) AS term FROM (SELECT DISTINCT ref_id AS query_id, question AS q FROM reference_answers WHERE ref_id % 20 = 0)) GROUP BY 1, 2),
+ scored AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN terms USING (term), stats GROUP BY 1, 2),
+ kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 30 AND score > 0)"""
+
+
+@query(_KEYWORD_HITS.replace(f"SELECT record_id AS id, {_TOKENS.format(c='subsection_text')} AS t FROM {_PROVISIONS}", f"SELECT doc_id AS id, {_TOKENS.format(c='text')} AS t FROM documents") + " SELECT query_id, id, score, rank FROM kw")
+def bm25_documents(spark, root):
+    """The same questions against all documents."""
+    return retrieval.keyword_search(questions(spark, root), table(spark, root, "documents"), "doc_id", "text", 30)
+
+
 # --- vector search ---------------------------------------------------------------------------------------------
 
 
@@ -162,11 +173,6 @@ def _fused(lists: str, k: int) -> str:
       SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 8) AS score, min(list_no * 100000 + rank0) AS f FROM ({lists}) WHERE id::VARCHAR <> '' GROUP BY 1, 2)) WHERE rank <= {k}"""
 
 
-_KEYWORD_HITS = _BM25 + f""", asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format(c='q')}) AS term FROM (SELECT DISTINCT ref_id AS query_id, question AS q FROM reference_answers WHERE ref_id % 20 = 0)) GROUP BY 1, 2),
- scored AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN terms USING (term), stats GROUP BY 1, 2),
- kw AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 30 AND score > 0)"""
-
-
 @query(_KEYWORD_HITS + f", vec AS ({_ranked(_VEC, 30)}) " + _fused("SELECT query_id, id, 0 AS list_no, rank - 1 AS rank0 FROM vec UNION ALL SELECT query_id, id, 1, rank - 1 FROM kw", 30))
 def hybrid_rrf(spark, root):
     """The vectors stand for provisions of the same number, their queries for questions of the same number."""

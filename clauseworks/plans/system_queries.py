@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from clauseworks.functions import text as T
 from clauseworks.functions.hashing import chunk_id
+from clauseworks.functions.time import elapsed_ms, iso_utc, run_id
 from clauseworks.functions.vectors import l2_normalize
 from clauseworks.models import calls, registry
-from clauseworks.operators import chunking, extract, index, judge, ledger, rerank, retrieval, rounds
+from clauseworks.operators import chunking, extract, feedback, index, judge, ledger, rerank, retrieval, rounds
 from clauseworks.operators.materialize import own_folder, written
 from clauseworks.plans import plugins, runner
-from clauseworks.plans.queries import _AXES, _BEST, _HITS, _HITS_TEXT, _KEYWORD_HITS, _PRINT, _PROVISIONS, _TEXTS, best_hits, hits, ledger_rows, provisions, query, questions, text_hits, texts
+from clauseworks.plans.queries import _AXES, _BEST, _HITS, _HITS_TEXT, _KEYWORD_HITS, _PRINT, _PROVISIONS, _STOP, _TEXTS, best_hits, hits, ledger_rows, provisions, query, questions, text_hits, texts
 from clauseworks.schema import Config
 from clauseworks.sources import files, sinks
 from clauseworks.sources.tables import table
@@ -215,6 +216,15 @@ def rerank_by_model(spark, root):
     return registry.RERANKERS.get("llm")(found, query_texts(spark, root)).select("query_id", "id", "relevance_score", "rank")
 
 
+@query(f"""SELECT query_id, id, CASE WHEN i // 5 % 3 = 2 OR i % 5 = 3 THEN 5.0 ELSE least(10, length(substr(text, 1, 1500)) % 13) END::DOUBLE AS model_score FROM (SELECT b.query_id, b.id, coalesce(t.text, '') AS text, row_number() OVER (PARTITION BY b.query_id ORDER BY pos) - 1 AS i FROM {_BEST} b LEFT JOIN {_TEXTS} t ON t.id = b.id) WHERE i < 30""")
+def rerank_listwise(spark, root):
+    """Scores from replies to batches of five passages of 1,500 characters at most: the third batch of a query fails, and the fourth passage is never answered."""
+    b = rerank.listwise_batches(retrieval.with_texts(best_hits(spark, root), texts(spark, root)))
+    parts = F.split("passages", r"\n\n(?=\[[2-5]\] )")
+    lines = F.transform(parts, lambda x, i: F.when(i == 3, F.lit("no idea")).otherwise(F.concat((i + 1).cast("string"), F.lit(": "), ((F.length(x) - 4) % 13).cast("string"))))
+    return rerank.listwise_scores(b.withColumn("reply", F.when(F.col("batch") % 3 != 2, F.array_join(lines, "\n"))))
+
+
 @query(f"""SELECT query_id, id, relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, f // 100000, f % 100000, id) AS rank FROM (
   SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + result_rank)), 8) AS relevance_score, min(variant_no * 100000 + result_rank) AS f FROM {_HITS} WHERE id <> '' GROUP BY 1, 2)) WHERE rank <= 20""")
 def rerank_by_fusion(spark, root):
@@ -348,6 +358,33 @@ def structured_replies(spark, root):
     return out.select("id", F.col("g.sufficient").alias("sufficient"), F.coalesce(F.size("g.followup_queries"), F.lit(0)).cast("long").alias("followups"))
 
 
+_KEYS = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*'), lambda x: length(x) > 1 AND NOT list_contains(" + _STOP + ", x)))"
+
+
+@query(f"""SELECT id AS query_id, lost <= 0.5 * greatest(1, n) AS sufficient, CASE WHEN lost > 0.5 * greatest(1, n) THEN 1 ELSE 0 END::BIGINT AS followups, lost::BIGINT AS missing FROM (
+  SELECT id, len(q) AS n, len(list_filter(q, lambda x: NOT list_contains(c, x))) AS lost FROM (SELECT DISTINCT id, {_KEYS.format(c='question')} AS q, {_KEYS.format(c='answer')} AS c FROM chat_responses))""")
+def gap_analysis(spark, root):
+    """The offline gap analysis: answers that have fewer than half of their question's keywords are insufficient."""
+    r = table(spark, root, "chat_responses").select("id", "question", "answer").distinct()
+    out = registry.keyword_gaps(r.select(F.col("id").alias("query_id"), F.coalesce("answer", F.lit("")).alias("context")), r.select(F.col("id").alias("query_id"), F.col("question").alias("query")))
+    return out.select("query_id", "sufficient", F.size("followup_queries").cast("long").alias("followups"), F.regexp_extract("reasoning", r"\A\d+", 0).cast("long").alias("missing"))
+
+
+@query("SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM chat_responses WHERE coalesce(latency_ms, 0) % 2 = 0) THEN 'stored' ELSE 'new' END AS kind FROM chat_responses")
+def response_append(spark, root):
+    """Responses appended to those there are: ids that are stored stay as they are, however often they come."""
+    r = table(spark, root, "chat_responses").select("id", "latency_ms")
+    stored = r.where(F.coalesce("latency_ms", F.lit(0)) % 2 == 0).select("id", F.lit("stored").alias("kind")).distinct()
+    return feedback.append_responses(stored, r.select("id", F.lit("new").alias("kind")))
+
+
+@query("SELECT DISTINCT id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(created_at, '%Y%m%d_%H%M%S') || '__' || regexp_replace(retriever, '[^A-Za-z0-9_.-]+', '_', 'g') AS run_id, greatest(0, (epoch_us(loaded_at) - epoch_us(created_at)) // 1000)::BIGINT AS waited_ms FROM chat_responses")
+def run_times(spark, root):
+    """Times as text, run ids and elapsed times of responses."""
+    r = table(spark, root, "chat_responses").select("id", "created_at", "loaded_at", "retriever").distinct()
+    return r.select("id", iso_utc(F.col("created_at")).alias("at"), run_id(F.col("created_at"), F.col("retriever")).alias("run_id"), elapsed_ms(F.col("created_at"), F.col("loaded_at")).alias("waited_ms"))
+
+
 @query("SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders")
 def backfilled_places(spark, root):
     """Places in a document for rows that have none."""

@@ -19,8 +19,15 @@ def binary_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 
 
-def parsed_pages(files: DataFrame, parse: Callable[[bytes], list[str]]) -> DataFrame:
-    """(doc, page, text, error): one row per page of each file by a pluggable parser; a file that can't be parsed gives a row with its error."""
+def parsed_pages(files: DataFrame, parse: Callable[[bytes], list[str]], parsed: DataFrame | None = None) -> DataFrame:
+    """(doc, page, text, error): one row per page of each file by a pluggable parser; a file that can't be parsed gives a row with its error.
+
+    Documents with pages among `parsed` (doc, error, ...) aren't parsed again, those of which only an error is there are.
+    """
+    if parsed is not None:
+        done = parsed.where(F.col("error").isNull()).select("doc").distinct()
+        stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+        files = files.withColumn("doc", stem).join(done, "doc", "left_anti").drop("doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseworks.operators.index import remove, replace_by_source, upsert
+from clauseworks.operators.judge import union_of_results
 
 
 class Store:
@@ -124,6 +125,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def write_results(path: str, *frames: DataFrame) -> None:
+    """Result tables as one CSV: the union of their columns in order, blanks for what is missing."""
+    write_csv(union_of_results(*frames), path)
+
+
 def packed_artifact(rows: DataFrame, content: str = "content") -> DataFrame:
     """Adds sha256, compression, sizes and the gzip payload of a binary column."""
 

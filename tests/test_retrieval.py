@@ -250,3 +250,11 @@ def test_levels_use_one_exchange(spark):
     hits = spark.createDataFrame(FIVE, HITS)
     plan = hierarchy.apply_levels(hits, top_k=3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("Scan") == 1
+
+
+def test_many_asked_terms_meet_postings_in_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"licence fee {'tower ' * (i % 3)}w{i % 5}") for i in range(40)], "id int, text string")
+    q = spark.createDataFrame([(1, "tower licence"), (2, "w3 fee fee")], "query_id int, query string")
+    one = {tuple(r) for r in retrieval.keyword_search(q, docs, "id", "text", 5).collect()}
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert {tuple(r) for r in retrieval.keyword_search(q, docs, "id", "text", 5).collect()} == one and one
