@@ -317,6 +317,38 @@ def neighbor_expand(spark, root):
     return out.select("query_id", "id", "relevance", "text")
 
 
+def _near(src: str) -> str:
+    """CTEs `med`, `near`, `ok` over rows (query_id, id, score): relevance, and the adjoining chunks, of documents of 25, that pass."""
+    return f"""med AS (SELECT *, CASE WHEN score >= 0.40 THEN 'high' WHEN score <= 0.15 THEN 'low' ELSE 'medium' END AS relevance FROM {src}),
+ near AS (SELECT m.query_id, m.id, d.side, d.hop, d.side * d.hop + m.id AS near_id, {_COS.replace('a.embedding', 'q.embedding').replace('b.embedding', 'v.embedding')} AS near, v.vec_id IS NOT NULL AS there
+   FROM med m, (VALUES (-1, 1), (-1, 2), (1, 1), (1, 2)) d(side, hop) JOIN embeddings q ON q.vec_id = m.query_id LEFT JOIN embeddings v ON v.vec_id = m.id + d.side * d.hop AND v.vec_id // 25 = m.id // 25 WHERE m.relevance = 'medium'),
+ ok AS (SELECT * FROM near n WHERE there AND near >= 0.10 AND (hop = 1 OR EXISTS (SELECT 1 FROM near p WHERE p.query_id = n.query_id AND p.id = n.id AND p.side = n.side AND p.hop = 1 AND p.there AND p.near >= 0.10)))"""
+
+
+@query(f"""WITH pool AS {_POOL},
+ best AS (SELECT query_id, section, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY group_score DESC, f) - 1 AS r FROM ({_GROUPS.format(keys='doc_name, chapter, section', s='score', src='pool')})) WHERE r < 5),
+ found AS (SELECT * FROM (SELECT query_id, r, b.vec_id AS id, {_COS} AS score, {_PLACED}, row_number() OVER (PARTITION BY query_id, r ORDER BY {_COS} DESC, b.vec_id) AS k
+   FROM best JOIN embeddings b ON 'S' || (b.vec_id % 4) = best.section JOIN embeddings a ON a.vec_id = best.query_id) WHERE k <= 5),
+ fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY r, k) AS n FROM found ANTI JOIN pool USING (query_id, id)) WHERE n = 1),
+ wide AS (SELECT query_id, id, score, doc_name, chapter, section, pos FROM pool UNION ALL
+   SELECT query_id, id, score, doc_name, chapter, section, last + row_number() OVER (PARTITION BY query_id ORDER BY r, k) FROM fresh JOIN (SELECT query_id, max(pos) AS last FROM pool GROUP BY 1) USING (query_id)),
+ l0 AS (SELECT query_id, id, doc_name, chapter, section, score AS base_score, score, pos FROM wide), l1 AS {_level('l0', 'doc_name', 3, 'doc_name')}, l2 AS {_level('l1', 'doc_name, chapter', 4, 'chapter')}, l3 AS {_L3},
+ kept AS (SELECT query_id, id, base_score AS score, round(score, 6) AS boosted, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, pos, id) AS rank FROM l3) WHERE rank <= 12),
+ {_near('kept')}
+ SELECT m.query_id, m.id, m.boosted AS score, m.rank, m.relevance, array_to_string(list_transform(list_sort(list_append(coalesce(o.ids, []), m.id)), lambda x: 't' || x), chr(10) || chr(10)) AS text
+ FROM med m LEFT JOIN (SELECT query_id, id, list(near_id) AS ids FROM ok GROUP BY 1, 2) o USING (query_id, id)""")
+def hierarchical_search(spark, root):
+    """The whole hierarchical retriever: pool, siblings, levels, cut, neighbours."""
+    v = _vectors(spark, root)
+    linked = chunking.assign_neighbors(v.select("id", F.floor(F.col("id") / 25).cast("string").alias("doc")), "doc", "id", "id").select("id", "prev_ids", "next_ids")
+    said = v.select("id", F.concat(F.lit("t"), F.col("id")).alias("text"))
+    candidates = _placed(v).drop("label").join(linked, "id").join(said, "id")
+    pool = _pool(spark, root, 10).drop("label", "rank").join(linked, "id").join(said, "id")
+    config = Config(top_k=12, high=0.40, low=0.15, moderate=0.10)
+    out = hierarchy.hierarchical_search(pool, candidates, said, _asked(spark, root).select("query_id", "vector"), config)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank", "relevance", "text")
+
+
 # --- rounds and contexts ---------------------------------------------------------------------------------------
 
 
