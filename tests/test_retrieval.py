@@ -258,3 +258,24 @@ def test_many_asked_terms_meet_postings_in_a_shuffle(spark, monkeypatch):
     one = {tuple(r) for r in retrieval.keyword_search(q, docs, "id", "text", 5).collect()}
     monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
     assert {tuple(r) for r in retrieval.keyword_search(q, docs, "id", "text", 5).collect()} == one and one
+
+
+def test_keyword_search_hands_on_no_pairs_of_queries_and_documents(spark, monkeypatch):
+    """Every document has a word of every query: only the best k of a list and task may be ranked, with the formula's result."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+    docs = [["common"] * rng.randint(1, 3) + [rng.choice(words) for _ in range(rng.randint(0, 9))] for _ in range(400)]
+    asked = [["common", *rng.sample(words, 3)] for _ in range(30)]
+    asked[29] = asked[0][::-1]
+    df = spark.createDataFrame([(f"d{i:03d}", " ".join(d)) for i, d in enumerate(docs)], "id string, text string").repartition(6)
+    seen, rank = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda scored, *rest: (seen.append(scored.count()), rank(scored, *rest))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        rows = retrieval.keyword_search(spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(asked)], "query_id int, query string"), df, "id", "text", 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, q in enumerate(asked):
+        best = sorted((-round(s, 6), f"d{j:03d}") for j, s in enumerate(okapi(docs, q)))[:5]
+        assert [(-r.score, r.id) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == i] == [(pytest.approx(s, abs=2e-6), d) for s, d in best]
+    assert 0 < seen[0] <= 2 * spark.sparkContext.defaultParallelism * 29 * 5 < 30 * 400
