@@ -6,6 +6,7 @@ import math
 import re
 import statistics
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -271,27 +272,34 @@ def number(word: str) -> str | None:
     return plain if grouped or inner else None
 
 
+#: Rows that a task makes at a time; one word may have thousands of readings and parts, a batch of words millions.
+ROWS_AT_ONCE = 20_000
+
+
+def _frames(rows: Iterator[tuple], *columns: str) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size, so that a task's memory doesn't grow with its words."""
+    while part := list(islice(rows, ROWS_AT_ONCE)):
+        yield pd.DataFrame(part, columns=list(columns))
+
+
 def _proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for w in pdf["word"]:
+    def rows() -> Iterator[tuple]:
+        for w in (w for pdf in batches for w in pdf["word"]):
             n = number(w)
             if n:
-                rows.append((w, n, 1, True))
+                yield w, n, 1, True
             elif listed(w):
-                rows += [(w, c, s, False) for c, s in readings(w).items() if s]
+                yield from ((w, c, s, False) for c, s in readings(w).items() if s)
             elif len(w) <= LONGEST_WORD:
-                rows.append((w, None, 0, False))
-        yield pd.DataFrame(rows, columns=["word", "reading", "subs", "is_number"])
+                yield w, None, 0, False
+
+    return _frames(rows(), "word", "reading", "subs", "is_number")
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for a, b in zip(pdf["a"], pdf["b"]):
-            for whole in (a + b, f"{a}-{b}"):
-                rows += [(a, b, c, s) for c, s in (readings(whole, 2) if listed(whole) else {whole: 0}).items()]
-        yield pd.DataFrame(rows, columns=["a", "b", "reading", "subs"])
+    pairs = ((a, b) for pdf in batches for a, b in zip(pdf["a"], pdf["b"]))
+    rows = ((a, b, c, s) for a, b in pairs for whole in (a + b, f"{a}-{b}") for c, s in (readings(whole, 2) if listed(whole) else {whole: 0}).items())
+    return _frames(rows, "a", "b", "reading", "subs")
 
 
 def vocabulary(laid: DataFrame) -> DataFrame:
@@ -347,13 +355,12 @@ def joins(laid: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [
-            (w, i, j, c, s)
-            for w in pdf["word"] for i in range(len(w)) for j in range(i + 2, min(len(w), i + LONGEST_WORD) + 1) if j - i < len(w)
-            for c, s in readings(w[i:j], 1).items()
-        ]
-        yield pd.DataFrame(rows, columns=["word", "i", "j", "reading", "subs"])
+    rows = (
+        (w, i, j, c, s)
+        for pdf in batches for w in pdf["word"] for i in range(len(w)) for j in range(i + 2, min(len(w), i + LONGEST_WORD) + 1) if j - i < len(w)
+        for c, s in readings(w[i:j], 1).items()
+    )
+    return _frames(rows, "word", "i", "j", "reading", "subs")
 
 
 def segmented(length: int, edges: list[tuple[int, int, str, float]]) -> tuple[float, list[str]]:
@@ -403,9 +410,7 @@ def with_merges(fixed: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(a, b, c, s) for a, b in zip(pdf["a"], pdf["b"]) for c, s in readings(a + b, 1).items()]
-        yield pd.DataFrame(rows, columns=["a", "b", "reading", "subs"])
+    return _frames(((a, b, c, s) for pdf in batches for a, b in zip(pdf["a"], pdf["b"]) for c, s in readings(a + b, 1).items()), "a", "b", "reading", "subs")
 
 
 def splits(laid: DataFrame, words: DataFrame, fixed: DataFrame) -> DataFrame:

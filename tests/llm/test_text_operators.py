@@ -341,3 +341,16 @@ def test_texts_that_the_gate_leaves_out_have_no_cue():
     held = abuse.suspects(pd.Series(texts))
     assert not any(max(s.score(t).values()) > 0 for t, h in zip(texts, held) if not h)
     assert list(held[:7]) == [False] + [True] * 6 and not held[7:10].any() and held[10] and held[11]
+
+
+def test_readings_of_many_words_leave_in_frames_of_bounded_size():
+    import pandas as pd
+
+    words = [f"w{i}ollicensesilence" for i in range(300)]
+    asked = lambda: iter([pd.DataFrame({"word": words, "a": words, "b": words})])
+    for made in (scans._proposed, scans._parts, scans._joined, scans._halves):
+        frames = list(made(asked()))
+        assert all(len(f) <= 20_000 for f in frames) and sum(map(len, frames)) > 0
+    whole = pd.concat(scans._parts(asked()))
+    want = {(w, i, j, c, s) for w in words[:2] for i in range(len(w)) for j in range(i + 2, len(w) + 1) if j - i < len(w) for c, s in scans.readings(w[i:j], 1).items()}
+    assert set(whole[whole["word"].isin(words[:2])].itertuples(index=False, name=None)) == want
