@@ -31,14 +31,15 @@ class Pipeline:
     generate: Callable[[DataFrame], DataFrame] | None = None
     config: Config = Config()
 
-    def run(self, queries: DataFrame) -> dict[str, DataFrame]:
+    def run(self, queries: DataFrame, first: DataFrame | None = None) -> dict[str, DataFrame]:
+        """All stages' frames. `first`: hits of the first retrieval, from another run with the same strategy and retriever."""
         asked = self.strategy(queries)
-        raw = written(self.retrieve(asked))
+        raw = first = written(self.retrieve(asked)) if first is None else first
         merged, gaps = rerank.dedupe(raw), None
         if self.config.two_call and self.analyse:
             merged, raw, gaps = rounds.corrective_rounds(merged, raw, self.analyse, self.strategy, self.retrieve, self.config.max_rounds)
         final = written(rerank.post_process(self.rerank(merged, queries, raw), self.config))
-        out = {"variants": asked, "raw": raw, "merged": merged, "final": final}
+        out = {"variants": asked, "first": first, "raw": raw, "merged": merged, "final": final}
         if gaps is not None:
             out["gaps"] = gaps
         if self.generate:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseworks.functions.text import is_blank
 from clauseworks.models.registry import EMBEDDERS, RERANKERS, RETRIEVERS, STRATEGIES, offline_gaps
 from clauseworks.operators import chunking, index, judge, ledger, retrieval
 from clauseworks.operators.materialize import written
@@ -20,14 +21,17 @@ from clauseworks.sources.sinks import VersionedTable
 LIST_ROOM = 100_000
 
 
-def pipeline(chunks: DataFrame, embedder: str = "hashing", retriever: str = "vector", reranker: str = "none", strategy: str = "simple", config: Config = Config(), keep_original: bool = False, analyse: Callable | None = offline_gaps, generate: Callable | None = None) -> Pipeline:
+def pipeline(chunks: DataFrame, embedder: str = "hashing", retriever: str = "vector", reranker: str = "none", strategy: str = "simple", config: Config = Config(), keep_original: bool = False, analyse: Callable | None = offline_gaps, generate: Callable | None = None, digests: bool = False) -> Pipeline:
     """A pipeline of named plug-ins over `chunks` (id, text, vector, doc_name, chapter, section, subsection_id, prev_ids, next_ids).
 
-    Every variant is a query of its own to the retriever, so all variants of all queries are searched in one job.
+    Every variant is a query of its own to the retriever, so all variants of all queries are searched in one job. With
+    `digests`, hits have a hash of their text instead of it and no names, which is enough where texts are only held against
+    each other.
     """
     check_names(embedder, retriever, reranker, strategy)
     embed, search, rank = EMBEDDERS.get(embedder), RETRIEVERS.get(retriever), RERANKERS.get(reranker)
-    carried = [c for c in ("text", "doc_name", "chapter", "section", "subsection_id", "page_numbers") if c in chunks.columns]
+    carried = [c for c in ("text", "doc_name", "chapter", "section", "subsection_id", "page_numbers") if c in chunks.columns and not (digests and c != "text")]
+    digest = F.when(is_blank(F.col("text")), F.col("text")).otherwise(F.sha2("text", 256)).alias("text")
 
     def variants(queries: DataFrame) -> DataFrame:
         return retrieval.variants(queries, STRATEGIES.get(strategy)(queries), keep_original)
@@ -38,7 +42,9 @@ def pipeline(chunks: DataFrame, embedder: str = "hashing", retriever: str = "vec
         hits = search(keyed.select(F.col("_key").alias("query_id"), F.col("variant_query").alias("query"), "vector"), chunks, config)
         hits = hits.withColumnRenamed("query_id", "_key")
         absent = [c for c in carried if c not in hits.columns]
-        hits = hits.join(chunks.select("id", *absent), "id", "left") if absent else hits
+        if digests and "text" in hits.columns:
+            hits = hits.withColumn("text", digest)
+        hits = hits.join(chunks.select("id", *[digest if digests and c == "text" else c for c in absent]), "id", "left") if absent else hits
         hits = hits.join(keyed.select("_key", "query_id", "variant_no", "variant_query"), "_key").drop("_key")
         return hits.withColumn("pos", F.col("variant_no").cast("long") * LIST_ROOM + F.col("rank"))
 
@@ -49,11 +55,19 @@ def pipeline(chunks: DataFrame, embedder: str = "hashing", retriever: str = "vec
 
 
 def indexed(subsections: DataFrame, embedder: str = "hashing", config: Config = Config(), order: str = "seq") -> DataFrame:
-    """Chunks of subsections with their neighbours and vectors, as a written table."""
+    """Chunks of subsections with their neighbours and vectors, as a written table.
+
+    Texts are exchanged once, by document, which serves both the repeated chunks, whose ids have the document in them, and
+    the neighbours. Columns that repeat another one's text are neither exchanged nor written, but made where they are read.
+    """
     c = chunking.chunk(subsections, order, config.chunk_size, config.chunk_overlap)
-    c = chunking.assign_neighbors(c.dropDuplicates(["id"]), "doc_name", "id", "seq", "chunk_index", "id", window=config.neighbor_window)
-    c = c.withColumn("embedded", F.col("text")).withColumn("text", F.coalesce("full_subsection_text", "subsection_text"))
-    return written(c.withColumn("vector", EMBEDDERS.get(embedder)(F.col("embedded"))))
+    columns = [*c.columns, "prev_ids", "next_ids", "embedded", "vector"]
+    c = c.drop("text", "bm25_text").repartition(F.coalesce("doc_name", F.lit("")))
+    c = index.keep_first(c, ["doc_name", "id"], ["chunk_index"])
+    c = chunking.assign_neighbors(c, "doc_name", "id", "seq", "chunk_index", "id", window=config.neighbor_window)
+    c = written(c.withColumn("vector", EMBEDDERS.get(embedder)(chunking.embedded_text())))
+    again = {"text": F.coalesce("full_subsection_text", "subsection_text"), "bm25_text": F.col("subsection_text"), "embedded": chunking.embedded_text()}
+    return c.withColumns(again).select(*columns)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, **names) -> dict[str, DataFrame]:
@@ -63,13 +77,19 @@ def retrieve(queries: DataFrame, chunks: DataFrame, **names) -> dict[str, DataFr
 
 
 def sweep(queries: DataFrame, chunks: DataFrame, combos: DataFrame, config: Config = Config(), has_keyword_index: bool = True) -> DataFrame:
-    """(label, query_id, id, rank, relevance_score): the final lists of every experiment of `combos` (a grid, some dozens of rows)."""
+    """(label, query_id, id, rank, relevance_score): the final lists of every experiment of `combos` (a grid, some dozens of rows).
+
+    Experiments that differ in what follows the first retrieval share it. Texts go with the hits only where a part reads them.
+    """
     from dataclasses import replace
 
     rows = judge.runnable(combos, has_keyword_index).orderBy("label").collect()  # a few parameters each
-    parts = []
+    parts, found = [], {}
     for c in rows:
-        out = pipeline(chunks, c.embedder, c.retriever, c.reranker, c.strategy, replace(config, two_call=c.two_call)).run(queries)
+        digests = not c.two_call and not getattr(RERANKERS.get(c.reranker), "reads_text", True) and set(config.post_processing) <= {"dedupe", "relevance_filter"}
+        shared = (c.embedder, c.retriever, c.strategy, digests)
+        out = pipeline(chunks, c.embedder, c.retriever, c.reranker, c.strategy, replace(config, two_call=c.two_call), digests=digests).run(queries, found.get(shared))
+        found.setdefault(shared, out["first"])
         parts.append(out["final"].select(F.lit(c.label).alias("label"), "query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("relevance_score").cast("double").alias("relevance_score")))
     return reduce(DataFrame.unionByName, parts)
 
