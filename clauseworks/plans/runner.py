@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseworks.functions.text import is_blank
@@ -24,28 +24,29 @@ LIST_ROOM = 100_000
 def pipeline(chunks: DataFrame, embedder: str = "hashing", retriever: str = "vector", reranker: str = "none", strategy: str = "simple", config: Config = Config(), keep_original: bool = False, analyse: Callable | None = offline_gaps, generate: Callable | None = None, digests: bool = False) -> Pipeline:
     """A pipeline of named plug-ins over `chunks` (id, text, vector, doc_name, chapter, section, subsection_id, prev_ids, next_ids).
 
-    Every variant is a query of its own to the retriever, so all variants of all queries are searched in one job. With
-    `digests`, hits have a hash of their text instead of it and no names, which is enough where texts are only held against
-    each other.
+    Every different text of the variants is a query of its own to the retriever, so all variants of all queries are searched in
+    one job and a text that many ask is searched once. With `digests`, hits have a hash of their text instead of it and neither
+    names nor the variant's text, which is enough where texts are only held against each other.
     """
     check_names(embedder, retriever, reranker, strategy)
     embed, search, rank = EMBEDDERS.get(embedder), RETRIEVERS.get(retriever), RERANKERS.get(reranker)
     carried = [c for c in ("text", "doc_name", "chapter", "section", "subsection_id", "page_numbers") if c in chunks.columns and not (digests and c != "text")]
-    digest = F.when(is_blank(F.col("text")), F.col("text")).otherwise(F.sha2("text", 256)).alias("text")
+    digest = F.when(is_blank(F.col("text")), F.col("text")).otherwise(F.base64(F.unhex(F.md5("text")))).alias("text")
 
     def variants(queries: DataFrame) -> DataFrame:
         return retrieval.variants(queries, STRATEGIES.get(strategy)(queries), keep_original)
 
     def retrieve(asked: DataFrame) -> DataFrame:
-        keyed = asked.withColumn("_key", F.to_json(F.struct(F.col("query_id").alias("q"), F.col("variant_no").alias("v"))))
-        keyed = written(keyed.withColumn("vector", embed(F.col("variant_query"))))
-        hits = search(keyed.select(F.col("_key").alias("query_id"), F.col("variant_query").alias("query"), "vector"), chunks, config)
+        keyed = asked.withColumn("_own", F.to_json(F.struct(F.col("query_id").alias("q"), F.col("variant_no").alias("v"))))
+        keyed = written(keyed.withColumn("_key", F.min("_own").over(Window.partitionBy("variant_query"))))
+        once = written(keyed.where("_own = _key").select(F.col("_key").alias("query_id"), F.col("variant_query").alias("query"), embed(F.col("variant_query")).alias("vector")))
+        hits = search(once, chunks, config)
         hits = hits.withColumnRenamed("query_id", "_key")
         absent = [c for c in carried if c not in hits.columns]
         if digests and "text" in hits.columns:
             hits = hits.withColumn("text", digest)
         hits = hits.join(chunks.select("id", *[digest if digests and c == "text" else c for c in absent]), "id", "left") if absent else hits
-        hits = hits.join(keyed.select("_key", "query_id", "variant_no", "variant_query"), "_key").drop("_key")
+        hits = hits.join(keyed.select("_key", "query_id", "variant_no", *[] if digests else ["variant_query"]), "_key").drop("_key")
         return hits.withColumn("pos", F.col("variant_no").cast("long") * LIST_ROOM + F.col("rank"))
 
     def reranked(hits: DataFrame, queries: DataFrame, raw: DataFrame) -> DataFrame:
