@@ -76,3 +76,9 @@ def test_bounded_keyword_search_equals_all_scores(spark, monkeypatch):
         want |= {(q, i): (-s, n + 1) for n, (s, i) in enumerate(sorted(every)[:5]) if s < 0}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert all(abs(v[0] - want[k][0]) < 2e-6 for k, v in got.items())
+
+
+def test_queries_without_words_have_the_smallest_ids(spark):
+    found = retrieval.vector_search(spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "query_id int, vector array<float>"), spark.createDataFrame([(i, [float(i % 7 - 3), 1.0]) for i in range(90, 0, -1)], "id int, vector array<float>"), 3)
+    lists = {q: [(r.id, r.score) for r in found.where(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 2, 3)}
+    assert lists[1] == lists[2] == [(1, 0.0), (2, 0.0), (3, 0.0)] and [i for i, _ in lists[3]] == [6, 13, 20]
